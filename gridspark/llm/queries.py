@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import byte_bpe, fingerprint, language, packing, simhash, token_counts, toxicity
+from gridspark.llm import byte_bpe, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity
 from gridspark.llm.common import table
 
 TOXIC_FROM = 0.7
@@ -25,10 +25,24 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources; paths are the languages within a source."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(quality.sample(docs, labels, ~quality.held_out()))
+    found = quality.classify(docs, model, "source", "lang")
+    return found.select("doc_id", quality.held_out().alias("held_out"), "host", "path", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remaining lengths and digests of every document's text."""
+    left = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,9 +63,26 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = exact_search.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return exact_search.search(codes, codes.where("id % 50 = 0"), 10)
+
+
+OP10_SQL = """
+WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS neighbour_id,
+         CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM q, embeddings e WHERE q.vec_id <> e.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op4_byte_bpe, op6_packing, op7_token_counts, op8_simhash, op9_language)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_search": OP10_SQL}

@@ -16,7 +16,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 import os
-import re
 import zlib
 
 import numpy as np
@@ -35,8 +34,8 @@ WINDOW = 16 * 4096
 QUEUES = 2048
 #: Base rows up to this number are broadcast (40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-CACHE_RUNS, CACHE_WORDS = 300_000, 600_000
-WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+CACHE_RUNS, CACHE_WORDS = 100_000, 700_000
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
 
 class CachedTokenizer:
@@ -44,7 +43,7 @@ class CachedTokenizer:
 
     No token of it spans white space (ASCII), so a text's ids are those of its runs, one after another. A run of
     Latin-1 letters and at most a full stop or comma is a lower-case word and that mark, as the tokenizer's own
-    split has it; new words go to the tokenizer many at a time, with a special token between them.
+    split has it; new words go to the tokenizer many at a time, and come apart at the tokens that end words.
     """
 
     def __init__(self, definition: bytes):
@@ -53,56 +52,65 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition.decode("utf-8"))
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._runs: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
-        self._marks = {mark: self._alone(mark) if mark else b"" for mark in ("", ".", ",")}
+        self._marks = [self._alone(mark) for mark in ".,"]
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _fresh(self, words: list[str]) -> list[bytes]:
-        """Ids of each of some runs."""
-        if len(words) < 2 or not self.special or any(t in w for t in self.special.values() for w in words):
-            return [self._alone(w) for w in words]
-        between, mark = next(iter(self.special.items()))
-        ids = np.array(self.tokenizer.encode_batch_fast([f" {mark} ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        cuts = (np.flatnonzero(ids == between) * ids.itemsize).tolist()
+        """Ids of each of some lower-case words of letters: each is one word to the tokenizer, up to a token that ends words."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = ((np.flatnonzero(self.final[ids]) + 1) * ids.itemsize).tolist()
         raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(c + ids.itemsize for c in cuts)], [*cuts, len(raw)], strict=True)]
-
-    def _ids_of(self, runs: list[str]) -> list[bytes]:
-        """Ids of each of some different runs."""
-        cache = self._runs
-        out = list(map(cache.get, runs))
-        unknown = [run for run, ids in zip(runs, out) if ids is None]
-        if unknown:
-            words, parts = self._words, []
-            for run in unknown:
-                m = WORD(run)
-                parts.append((m[1].lower(), m[2]) if m else (run, ""))
-            missing = list({w for w, _ in parts}.difference(words))
-            fresh = dict(zip(missing, self._fresh(missing), strict=True))
-            found = [(fresh[w] if w in fresh else words[w]) + self._marks[mark] for w, mark in parts]
-            if len(words) + len(fresh) > CACHE_WORDS:
-                words.clear()
-            words.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
-            if len(cache) + len(found) > CACHE_RUNS:
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _look_up(self, keys: list[str], cache: dict[str, bytes], most: int, fresh) -> list[bytes]:
+        out = list(map(cache.get, keys))
+        if None in out:
+            missing = [key for key, ids in zip(keys, out) if ids is None]
+            found = fresh(missing)
+            if len(cache) + len(missing) > most:
                 cache.clear()
-            cache.update((run, ids) for run, ids in zip(unknown, found) if len(run) <= 64)
+            cache.update((key, ids) for key, ids in zip(missing, found) if len(key) <= 64)
             rest = iter(found)
             out = [next(rest) if ids is None else ids for ids in out]
         return out
 
     def encode(self, texts: pa.StringArray, after: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, each with the ids `after`, and where each text's end."""
+        """Ids of all texts one after another, each with the ids `after`, and where each text's end.
+
+        Each different run of a batch is taken apart once, each different word is looked up once.
+        """
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         runs = split.flatten().dictionary_encode()
-        values = [*self._ids_of(runs.dictionary.to_pylist()), after]
+        plain = pc.match_substring_regex(runs.dictionary, PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        lowered = pc.utf8_lower(runs.dictionary.filter(plain))
+        mark = pc.ends_with(lowered, ".").to_numpy(zero_copy_only=False).astype(np.int64) + 2 * pc.ends_with(lowered, ",").to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.utf8_rtrim(lowered, characters=".,").dictionary_encode()
+        values = [b"", *self._marks, after]
+        marks, end, first = 1, len(values) - 1, len(values)
+        values += self._look_up(words.dictionary.to_pylist(), self._words, CACHE_WORDS, self._fresh)
+        others = len(values)
+        rest = runs.dictionary.filter(pc.invert(plain)).to_pylist()
+        values += self._look_up(rest, self._runs, CACHE_RUNS, lambda found: list(map(self._alone, found)))
+
+        body, tail = np.zeros(len(is_plain), np.int64), np.zeros(len(is_plain), np.int64)
+        body[is_plain] = first + words.indices.to_numpy()
+        body[~is_plain] = others + np.arange(len(rest))
+        tail[is_plain] = np.where(mark > 0, marks + mark - 1, 0)
+        at = runs.indices.to_numpy()
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
-        index = np.insert(runs.indices.to_numpy().astype(np.int64), ends, len(values) - 1)
+        index = np.insert(np.stack((body[at], tail[at]), axis=1).ravel(), 2 * ends, end)
         flat, run_ends = gather(index, values, self.dtype)
-        return flat, run_ends[ends + np.arange(len(ends))]
+        return flat, run_ends[2 * ends + np.arange(len(ends))]
 
 
 def schedule(totals: list[int], weights: list[float] | None = None) -> list[tuple[int, list[int]]]:

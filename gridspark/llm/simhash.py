@@ -105,5 +105,6 @@ def near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id",
     nodes = stash(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     links = stash(near_pairs(nodes, distance), "links")
     found = components(links, nodes.select(F.col("fp").alias("node"), "first"))
-    labels = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    # a stored table on this side too, so that a hot fingerprint's rows can be split over tasks
+    labels = stash(nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component")), "labels")
     return prints.join(labels, "fp", "left").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -17,6 +17,7 @@ import unicodedata
 
 import ahocorasick
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -28,7 +29,10 @@ from gridspark.llm.common import by_size, gather, map_batches, per_process
 CHUNK = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
 #: White space of other kinds; texts with any of it are split as a whole.
 OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS = 300_000, 200_000, 400_000
+CACHE_CHUNKS, CACHE_PIECES, CACHE_PAIRS = 350_000, 100_000, 400_000
+#: With this split pattern, such a part is one word (with the space before it) and one mark.
+WORD_PATTERN = public_tokenizers.PATTERN
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
@@ -76,6 +80,7 @@ class ByteBPE:
         self._chunks: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         self.pattern, self._classes = pattern, None
 
     def _merged(self, data: bytes) -> list[int]:
@@ -182,41 +187,68 @@ class ByteBPE:
                     out[i] = ids
         return b"".join(out)
 
+    def _look_up(self, keys: list[str], cache: dict[str, bytes], fresh) -> list[bytes]:
+        out = list(map(cache.get, keys))
+        if None in out:
+            if len(cache) + len(keys) > CACHE_CHUNKS:
+                cache.clear()
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = ids = fresh(keys[i])
+                    if len(keys[i]) <= 64:
+                        cache[keys[i]] = ids
+        return out
+
+    def _encode_word(self, word: str) -> bytes:
+        ids = self.encode_piece((" " + word).encode("utf-8"))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode_column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's end; the same ids as encode()'s.
 
         Texts are cut before each space, which is where a match ends unless white space stands before the
-        space; a text with such a place is encoded by itself. Each different part is looked up once.
+        space; a text with such a place is encoded by itself. A part of Latin-1 letters and at most a full stop
+        or comma is two matches. Each different part is taken apart once, each different word is looked up once.
         """
         texts = texts.fill_null("")
         split = pc.split_pattern(texts, " ")
         parts = split.flatten().dictionary_encode()
-        index = parts.indices.to_numpy().astype(np.int64)
-        keys = parts.dictionary.to_pylist()
-        cache = self._parts
-        values = list(map(cache.get, keys))
-        if len(cache) + len(keys) > CACHE_CHUNKS:
-            cache.clear()
-        for i, ids in enumerate(values):
-            if ids is None:
-                values[i] = ids = self._encode_span(" " + keys[i])
-                if len(keys[i]) <= 64:
-                    cache[keys[i]] = ids
-        unsafe = np.array([not k or k[-1] in " \t\n\r\f\v" or OTHER_SPACE.search(k) is not None for k in keys], dtype=bool)
+        plain = pc.match_substring_regex(parts.dictionary, PLAIN) if self.pattern == WORD_PATTERN else pc.equal(parts.dictionary, "")
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        kept = parts.dictionary.filter(plain)
+        mark = pc.ends_with(kept, ".").to_numpy(zero_copy_only=False).astype(np.int64) + 2 * pc.ends_with(kept, ",").to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.utf8_rtrim(kept, characters=".,").dictionary_encode()
+        rest = parts.dictionary.filter(pc.invert(plain)).to_pylist()
+
+        values = [b"", self._encode_span("."), self._encode_span(",")]
+        first = len(values)
+        values += self._look_up(words.dictionary.to_pylist(), self._words, self._encode_word)
+        others = len(values)
+        values += self._look_up(rest, self._parts, lambda part: self._encode_span(" " + part))
+        body, tail = np.zeros(len(is_plain), np.int64), np.zeros(len(is_plain), np.int64)
+        body[is_plain] = first + words.indices.to_numpy()
+        body[~is_plain] = others + np.arange(len(rest))
+        tail[is_plain] = mark
+        unsafe = np.zeros(len(is_plain), bool)
+        unsafe[~is_plain] = [not k or k[-1] in " \t\n\r\f\v" or OTHER_SPACE.search(k) is not None for k in rest]
+
+        at = parts.indices.to_numpy()
+        index = np.stack((body[at], tail[at]), axis=1)
         ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
         starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        whole = np.add.reduceat(unsafe[index], starts) > 0 if len(ends) else np.zeros(0, bool)
-        nothing = len(values)
-        values.append(b"")
-        for row, at in enumerate(starts.tolist()):  # the first part has no space before it
+        doubtful = unsafe[at]
+        doubtful[ends - 1] = False  # white space at the end of a text cuts nothing off
+        whole = np.add.reduceat(doubtful, starts) > 0 if len(ends) else np.zeros(0, bool)
+        openings = parts.dictionary.take(pa.array(at[starts])).to_pylist() if len(ends) else []
+        for row, k in enumerate(starts.tolist()):  # the first part has no space before it
             if whole[row]:
                 values.append(self.encode(texts[row].as_py()))
-                index[at : ends[row]] = nothing
+                index[k : ends[row]] = 0
             else:
-                values.append(self._encode_span(keys[index[at]]))
-            index[at] = len(values) - 1
-        flat, part_ends = gather(index, values, "<u4")
-        return flat, part_ends[ends - 1] if len(ends) else ends
+                values.append(self._encode_span(openings[row]))
+            index[k] = (len(values) - 1, 0)
+        flat, part_ends = gather(index.ravel(), values, "<u4")
+        return flat, part_ends[2 * ends - 1] if len(ends) else ends
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

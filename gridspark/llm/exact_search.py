@@ -6,8 +6,8 @@ code up to that distance has been seen, and a query whose k-th verified distance
 from 0; queries that are done leave.
 
 Equal codes are one entry with their smallest ids, so a code that a third of the rows share costs one row. An upper
-bound of each query's k-th distance, from a few codes of the table, keeps candidates out that cannot be among the
-first k; it changes no result.
+bound of each query's k-th distance, at first from some codes of the table and then from those verified, keeps
+candidates out that cannot be among the first k; it changes no result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from gridspark.llm.common import stash
 
 SEGMENTS, BITS = 4, 16
 #: Codes that give each query its first bound.
-PROBE_CODES = 256
+PROBE_CODES = 1024
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector: str, bits: int = 64) -> DataFrame:
@@ -86,8 +86,11 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         fresh = new.select("a", "b", distance(F.col("a"), F.col("b")).alias("d"))
         found = stash(fresh if found is None else found.unionByName(fresh).distinct(), f"found{radius}")
         covered = SEGMENTS * radius + SEGMENTS - 1
-        seen = found.where(F.col("d") <= covered).join(table.select(F.col("code").alias("b"), F.size("ids").alias("n")), "b").groupBy("a").agg(F.sum("n").alias("n"))
-        active = stash(active.join(seen, "a", "left").where((F.coalesce("n", F.lit(0)) <= k) & (F.col("most") > covered)).select("a", "most"), f"active{radius}")
+        # the (k + 1)th verified distance bounds the search from now on; once it is covered, the query is done
+        sizes = table.select(F.col("code").alias("b"), F.size("ids").alias("n"))
+        verified = found.join(sizes, "b").groupBy("a").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("d", F.col("n"))))).alias("ds"))
+        nearer = active.join(verified, "a", "left").select("a", F.least("most", F.coalesce(F.get("ds", F.lit(k)), F.col("most"))).alias("most"))
+        active = stash(nearer.where(F.col("most") > covered), f"active{radius}")
         if active.isEmpty():
             break
     named = asked.select(F.col("id").alias("query_id"), F.col("code").alias("a"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2048
 
 _built: dict = {}
+_kept: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +65,14 @@ def _remove(spark: SparkSession, home: str) -> None:
 
 
 def per_process(key: object, build: Callable[[], object]) -> object:
-    """build() once in each Python worker; workers are used again by later tasks."""
-    if key not in _built:
-        _built[key] = build()
-    return _built[key]
+    """build() once in each Python worker; workers are used again by later tasks.
+
+    One thing is kept at a time: a worker that serves several stages would otherwise hold the caches of all.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
 
 
 def fold(doc_id: Column | str, n: int) -> Column:
@@ -81,15 +86,12 @@ def map_batches(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def by_size(batches: Iterable[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of one come to at most `most` bytes (or are one text)."""
     for b in batches:
         texts = b.column(column)
-        sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else []
+        wide = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+        sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype=wide)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else []
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > most:

@@ -95,7 +95,7 @@ def fit(docs: DataFrame, usable, per_language: int = TRAIN_DOCS) -> tuple[list[s
     not depend on partitions. Texts are read whole.
     """
     spark = docs.sparkSession
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     draw = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("draw")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:

@@ -155,12 +155,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rare
     from_pairs = map_batches(aligned, align, f"key {shape}, lines array<int>").where(F.size("lines") > 0)
     gone = from_pairs.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
     common = links.where(F.col("n") > rare).groupBy("key").agg(F.collect_list(F.struct("h", F.col("owner.id").cast("string").alias("id"), F.col("owner.mark").alias("mark"))).alias("common"))
-    decisions = gone.join(common, "key", "full").select(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark"), "lines", "common")
+    decisions = gone.join(common, "key", "full").select(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark"), F.col("lines").alias("__lines"), F.col("common").alias("__common"))
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     at = names.index(text)
     keyed = docs.select(*[docs[c] for c in names], F.xxhash64(docs[text]).alias("__own"))
-    joined = keyed.join(decisions, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select(*[keyed[c] for c in names], "lines", "common")
+    joined = keyed.join(decisions, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select(*[keyed[c] for c in names], "__lines", "__common")
 
     def rewrite(batches):
         for b in by_size(batches, at):

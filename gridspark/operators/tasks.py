@@ -20,6 +20,6 @@ def build(context: list[tuple[DataFrame, Sampling]], target: tuple[DataFrame, Sa
         sets.append(("target", 0, *target))
     parts = []
     for role, k, df, how in sets:
-        dated = df.join(F.broadcast(dates), "date", "left_semi") if "date" in df.columns else dates.crossJoin(df)
+        dated = df.join(dates, "date", "left_semi") if "date" in df.columns else dates.crossJoin(df)
         parts.append(sample(dated, how).select("date", F.lit(role).alias("role"), F.lit(k).alias("set_idx"), "cell_id", "x1", "x2", F.col("y").cast("double").alias("y")))
     return reduce(DataFrame.unionByName, parts)

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Targets at most that may meet the whole context; also the bound of what is broadcast.
+TARGETS = 10_000
+
 
 def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float | None = None, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """Kernel mean sum(w y) / sum(w) with w = exp(-d2 / (2 length2)), and density sum(w).
@@ -18,7 +21,9 @@ def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float
     c = context.where(F.col("y").isNotNull())
     d2 = F.pow(F.col("x1") - F.col("t1"), 2) + F.pow(F.col("x2") - F.col("t2"), 2)
     if reach is None:
-        pairs = c.join(F.broadcast(t))  # for target lists of a checked size: stations, a coarse grid
+        if t.limit(TARGETS + 1).count() > TARGETS:
+            raise ValueError(f"more than {TARGETS} targets need a reach")
+        pairs = c.crossJoin(F.broadcast(t))
     else:
         square = lambda x: F.floor(x / F.lit(reach))
         near = t.withColumn("i", F.explode(F.array(*[square(F.col("t1")) + k for k in (-1, 0, 1)]))).withColumn("j", F.explode(F.array(*[square(F.col("t2")) + k for k in (-1, 0, 1)])))

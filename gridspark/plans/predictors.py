@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Targets at most that may meet the whole context; also the bound of what is broadcast.
 TARGETS = 10_000
+JOINT_TARGETS = 2_000
 
 
 def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float | None = None, by: tuple[str, ...] = ("date",)) -> DataFrame:
@@ -32,15 +33,20 @@ def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float
     return pairs.groupBy(*by, "target_id").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("mean"), F.sum(w).alias("density"))
 
 
-def gp_posterior(x: np.ndarray, y: np.ndarray, at: np.ndarray, length: float, noise: float, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation of a Gaussian process with a squared exponential kernel; no context gives the prior."""
+def gp_posterior(x: np.ndarray, y: np.ndarray, at: np.ndarray, length: float, noise: float, scale: float = 1.0, joint: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation (joint: covariance) of a Gaussian process with a squared exponential kernel.
+
+    No context gives the prior.
+    """
     kernel = lambda a, b: scale * np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(-1) / (2 * length**2))
-    if not len(x):
-        return np.zeros(len(at)), np.full(len(at), np.sqrt(scale))
-    low = np.linalg.cholesky(kernel(x, x) + (noise + 1e-10) * np.eye(len(x)))
-    cross = kernel(at, x)
-    half = np.linalg.solve(low, cross.T)
-    mean = half.T @ np.linalg.solve(low, y)
+    if len(x):
+        low = np.linalg.cholesky(kernel(x, x) + (noise + 1e-10) * np.eye(len(x)))
+        half = np.linalg.solve(low, kernel(at, x).T)
+        mean = half.T @ np.linalg.solve(low, y)
+    else:
+        half, mean = np.zeros((1, len(at))), np.zeros(len(at))
+    if joint:
+        return mean, kernel(at, at) - half.T @ half
     return mean, np.sqrt(np.maximum(scale - (half**2).sum(0), 0.0))
 
 
@@ -48,8 +54,12 @@ def gp_predict(context: DataFrame, targets: DataFrame, length: float, noise: flo
     """date, target_id, mean, std (and sample_1.. drawn jointly): one small Cholesky for each date.
 
     For sampled context: `most` points a date at most, beyond which it raises (use setconv for whole grids). The
-    context of each date is a group of that size; the targets are sent to all tasks, as a list of stations is.
+    context of each date is a group of that size; the targets (TARGETS at most, JOINT_TARGETS with samples, whose
+    covariance is a square of that size) are sent to all tasks, as a list of stations is.
     """
+    bound = JOINT_TARGETS if samples else TARGETS
+    if targets.limit(bound + 1).count() > bound:
+        raise ValueError(f"gp_predict takes {bound} targets")
     points = targets.select("target_id", "x1", "x2").orderBy("target_id").toPandas()
     at, kind = points[["x1", "x2"]].to_numpy(float), targets.schema["target_id"].dataType.simpleString()
     extra = "".join(f", sample_{k + 1} double" for k in range(samples))
@@ -60,9 +70,13 @@ def gp_predict(context: DataFrame, targets: DataFrame, length: float, noise: flo
             raise ValueError(f"{len(group)} context points; gp_predict takes {most}")
         mean, std = gp_posterior(group[["x1", "x2"]].to_numpy(float), group["y"].to_numpy(float), at, length, noise)
         out = pd.DataFrame({"date": key[0], "target_id": points["target_id"], "mean": mean, "std": std})
-        rng = np.random.default_rng(seed)
-        for k in range(samples):
-            out[f"sample_{k + 1}"] = mean + std * rng.standard_normal(len(out))
+        if samples:
+            _, cov = gp_posterior(group[["x1", "x2"]].to_numpy(float), group["y"].to_numpy(float), at, length, noise, joint=True)
+            values, vectors = np.linalg.eigh(cov)
+            root = vectors * np.sqrt(np.maximum(values, 0.0))
+            drawn = np.random.default_rng(seed).standard_normal((len(at), samples))
+            for k in range(samples):
+                out[f"sample_{k + 1}"] = mean + root @ drawn[:, k]
         return out
 
     date = context.schema["date"].dataType.simpleString()

@@ -118,6 +118,10 @@ def test_predictors_and_placement(spark):
         w = np.exp(-((x - t) ** 2).sum(1) / 2)
         assert r["mean"] == pytest.approx((w @ y) / w.sum()) and r["density"] == pytest.approx(w.sum())
     assert predictors.tune(context, targets.select(F.lit(1).alias("date"), "target_id", F.lit(1.0).alias("y")), targets, [0.5, 1.0])[1][0] == 1.0
+    _, cov = predictors.gp_posterior(x, y, x + 0.5, 1.0, 0.1, joint=True)
+    assert np.allclose(np.sqrt(np.diag(cov)), predictors.gp_posterior(x, y, x + 0.5, 1.0, 0.1)[1])
+    drawn = predictors.gp_predict(context, targets, 1.0, samples=2).collect()
+    assert len(drawn) == 2 and all(abs(r["sample_1"] - r["mean"]) < 6 * r["std"] + 1e-6 for r in drawn)
     line = spark.createDataFrame([(k, float(k), 0.0) for k in range(11)], "cell_id int, x1 double, x2 double")
     picks, field = placement.greedy(context.limit(1), line, line, 3, 1.5)
     rows = picks.orderBy("iteration").collect()

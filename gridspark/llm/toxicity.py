@@ -12,6 +12,9 @@ toxic text and that ordinary text hardly has; the dictionary trainer keeps what
 
 from __future__ import annotations
 
+import zlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -23,16 +26,28 @@ from gridspark.llm.common import by_size, fold, map_batches, per_process
 #: The fit reads at most so many labelled documents that are toxic, and twice as many that are not, of TRAIN_CHARS
 #: characters at most. This bounds the fit alone; what is scored is whole.
 TRAIN_DOCS, TRAIN_CHARS = 2000, 30_000
-WINDOW, OVERLAP, GRAM = 96, 24, 5
-#: A marked gram is in so many toxic texts, and in so many times their share of ordinary ones.
-RECUR, CONTRAST = 3, 30
-TOXIC_BYTES, ORDINARY_BYTES = 4 << 10, 64 << 10
 
 
-def windows(text: bytes) -> list[bytes]:
+class Settings(NamedTuple):
+    """Bytes of a window and of its overlap with the next, bytes of a gram, how many toxic texts a marked gram is in
+    and in how many times their share of ordinary ones, bytes of the dictionaries."""
+
+    window: int = 96
+    overlap: int = 24
+    gram: int = 4
+    recur: int = 3
+    contrast: int = 30
+    toxic_bytes: int = 4 << 10
+    ordinary_bytes: int = 64 << 10
+
+
+SETTINGS = Settings()
+
+
+def windows(text: bytes, settings: Settings = SETTINGS) -> list[bytes]:
     """Windows over the whole text; they overlap, so that no word is cut in all of them."""
-    step = WINDOW - OVERLAP
-    return [text[i : i + WINDOW] for i in range(0, max(1, len(text) - OVERLAP), step)]
+    step = settings.window - settings.overlap
+    return [text[i : i + settings.window] for i in range(0, max(1, len(text) - settings.overlap), step)]
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
@@ -76,35 +91,45 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def _spans(text: bytes, marked: set[bytes]) -> list[bytes]:
+def _spans(text: bytes, marked: set[bytes], gram: int) -> list[bytes]:
     """The stretches of a text that marked grams cover."""
     out, start, last = [], None, 0
-    for i in range(len(text) - GRAM + 1):
-        if text[i : i + GRAM] in marked:
-            if start is not None and i > last + GRAM:
-                out.append(text[start : last + GRAM])
+    for i in range(len(text) - gram + 1):
+        if text[i : i + gram] in marked:
+            if start is not None and i > last + gram:
+                out.append(text[start : last + gram])
                 start = None
             start, last = i if start is None else start, i
     if start is not None:
-        out.append(text[start : last + GRAM])
+        out.append(text[start : last + gram])
     return out
 
 
-def marked_grams(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Byte sequences of GRAM that recur in toxic texts and that ordinary ones hardly have."""
-    n = {}
+def marked_grams(toxic: list[bytes], ordinary: list[bytes], settings: Settings = SETTINGS) -> set[bytes]:
+    """Grams that recur in toxic texts and that ordinary ones hardly have."""
+    size, n = settings.gram, {}
     for t in toxic:
-        for g in {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}:
+        for g in {t[i : i + size] for i in range(len(t) - size + 1)}:
             n[g] = n.get(g, 0) + 1
-    n = {g: k for g, k in n.items() if k >= RECUR}
+    n = {g: k for g, k in n.items() if k >= settings.recur}
     seen = dict.fromkeys(n, 0)
     for t in ordinary:
-        for g in {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}.intersection(seen):
+        for g in {t[i : i + size] for i in range(len(t) - size + 1)}.intersection(seen):
             seen[g] += 1
-    return {g for g, k in n.items() if k * len(ordinary) >= CONTRAST * (seen[g] + 0.5) * len(toxic)}
+    return {g for g, k in n.items() if k * len(ordinary) >= settings.contrast * (seen[g] + 0.5) * len(toxic)}
+
 
+def probability(model: dict, gaps: np.ndarray) -> float:
+    """The logistic curve at a document's gaps."""
+    z = float(np.dot(features(gaps, model["threshold"]), model["weights"]))
+    return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
-def fit(rows: list[tuple[int, str, int]]) -> dict | None:
+
+def _log_loss(p: np.ndarray, y: np.ndarray) -> float:
+    return float(-np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
+
+
+def fit(rows: list[tuple[int, str, int]], settings: Settings = SETTINGS) -> dict | None:
     """The model from (doc_id, text, toxic) rows; None if either class has fewer than four texts.
 
     Even ranks (by id) build the dictionaries, odd ones calibrate the threshold and the curve.
@@ -114,21 +139,36 @@ def fit(rows: list[tuple[int, str, int]]) -> dict | None:
     if min(map(len, by.values())) < 4:
         return None
     build, check = {c: v[::2] for c, v in by.items()}, {c: v[1::2] for c, v in by.items()}
-    ordinary = _dictionary([w for t in build[0] for w in windows(t)], ORDINARY_BYTES)
-    marked = marked_grams(build[1], build[0])
-    toxic = _dictionary([p for t in build[1] for p in _spans(t, marked)], TOXIC_BYTES)
+    ordinary = _dictionary([w for t in build[0] for w in windows(t, settings)], settings.ordinary_bytes)
+    marked = marked_grams(build[1], build[0], settings)
+    toxic = _dictionary([p for t in build[1] for p in _spans(t, marked, settings.gram)], settings.toxic_bytes)
     distance = Distance(ordinary, toxic)
-    gaps = [(distance.of(windows(t)), c) for c in (0, 1) for t in check[c]]
+    gaps = [(distance.of(windows(t, settings)), c) for c in (0, 1) for t in check[c]]
     y = np.array([c for _, c in gaps], dtype=float)
     best = None
     for threshold in (1, 2, 3, 4, 5, 6):
         x = np.array([features(g, threshold) for g, _ in gaps])
         w = logistic_fit(x, y)
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        loss = float(-np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
+        loss = _log_loss(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), y)
         if best is None or loss < best[0] - 1e-9:
             best = (loss, threshold, w)
-    return {"ordinary": ordinary, "toxic": toxic, "threshold": float(best[1]), "weights": best[2].tolist()}
+    return {"ordinary": ordinary, "toxic": toxic, "threshold": float(best[1]), "weights": best[2].tolist(), "settings": settings}
+
+
+def cross_validated_loss(rows: list[tuple[int, str, int]], settings: Settings, folds: int = 3) -> float:
+    """Log loss on each fold of a fit on the others, over rows that may be learned from. SETTINGS was chosen by it."""
+    total = n = 0.0
+    for k in range(folds):
+        inside = [r for r in rows if zlib.crc32(f"fold {r[0]}".encode()) % folds != k]
+        rest = [r for r in rows if zlib.crc32(f"fold {r[0]}".encode()) % folds == k]
+        model = fit(inside, settings)
+        if model is None or not rest:
+            return float("inf")
+        distance = Distance(model["ordinary"], model["toxic"])
+        p = np.array([probability(model, distance.of(windows((t or "").encode("utf-8"), settings))) for _, t, _ in rest])
+        total += _log_loss(p, np.array([c for _, _, c in rest], dtype=float)) * len(rest)
+        n += len(rest)
+    return total / n
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -139,7 +179,6 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-
 def held_out(doc_id="doc_id"):
     """Rows whose labels the fit never sees."""
     return F.coalesce(fold(doc_id, 3) == 1, F.lit(False))
@@ -173,15 +212,14 @@ def score(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id"
         for b in by_size(batches, 0):
             scores, counts, largest = [], [], []
             for text in b.column(0).to_pylist():
-                pieces = windows((text or "").encode("utf-8"))
+                pieces = windows((text or "").encode("utf-8"), m["settings"] if m else SETTINGS)
                 counts.append(len(pieces))
                 if distance is None:
                     scores.append(0.0)
                     largest.append(0.0)
                     continue
                 gaps = distance.of(pieces)
-                z = float(np.dot(features(gaps, m["threshold"]), m["weights"]))
-                scores.append(float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))))
+                scores.append(probability(m, gaps))
                 largest.append(float(gaps.max()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(largest, pa.float64())], names=[*keep, "score", "windows", "gap"])
 

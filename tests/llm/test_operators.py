@@ -256,3 +256,14 @@ def test_queries_return_every_row(spark, name):
         assert df.count() == 10 * spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
     else:
         assert {r[0] for r in df.select("doc_id").collect()} == ids
+
+
+def test_toxicity_settings():
+    """Windows of any settings cover the text; separable rows have a small cross-validated loss, too few rows none."""
+    data = bytes(range(250)) * 3
+    for settings in (toxicity.SETTINGS, toxicity.Settings(window=50, overlap=10), toxicity.Settings(window=7, overlap=0)):
+        step, parts = settings.window - settings.overlap, toxicity.windows(data, settings)
+        assert b"".join([w[:step] for w in parts[:-1]] + parts[-1:]) == data
+    rows = [(i, prose(i, 60) + (" zounds knave villain" * 3 if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
+    assert toxicity.cross_validated_loss(rows, toxicity.SETTINGS) < 0.3
+    assert toxicity.cross_validated_loss(rows[:5], toxicity.SETTINGS) == float("inf")

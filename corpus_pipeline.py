@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import language, line_dedup, packing, simhash, toxicity
+from gridspark.llm import language, line_dedup, near_copies, packing, toxicity
 from gridspark.llm.common import stash, table
 
 #: A text is toxic from this probability on.
@@ -44,7 +44,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; one row of an id that comes more than once."""
-    groups = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs.select(*COLUMNS))
+    firsts = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = found.join(firsts, "component").select("doc_id", "component_id")
     kept = stash(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     ids = kept.select(F.col("doc_id").alias("__id"))
     rest = docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

@@ -4,6 +4,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from gridspark.llm import near_copies  # noqa: E402
 from tests.llm.helpers import awkward, prose, table  # noqa: E402
 
 
@@ -28,3 +29,31 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert not {1000, 1001} & kept[-1]
     assert 3009 not in kept[1]  # digits and marks alone
     assert docs.where("doc_id = 2").agg({"length": "sum"}).first()[0] > 120
+
+
+def edit(text: str, n: int) -> str:
+    """text with n words replaced, far from each other."""
+    words = text.split()
+    for k in range(n):
+        words[(k + 1) * len(words) // (n + 1)] = f"edited{k}x{n}"
+    return " ".join(words)
+
+
+def test_near_dedup_links_edited_copies(spark):
+    texts = [(i, prose(i, 120)) for i in range(12)]
+    texts += [(100 * n + i, edit(prose(i, 120), n)) for n in (1, 2, 4, 8) for i in range(12)]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in texts}
+    name = {i: i for i in sets}  # brute force over all pairs
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = {i: low if x == high else x for i, x in name.items()}
+    expected = {i for i in sets if name[i] == i}
+    assert 12 < len(expected) < 60 and not {100 + i for i in range(12)} & expected
+    docs = table(spark, texts).select(*corpus_pipeline.COLUMNS)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == expected
+    groups = {}
+    for r in near_copies.near_copies(docs).collect():
+        groups.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in sets if name[i] == low) for low in expected)

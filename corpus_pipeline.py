@@ -43,16 +43,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; one row of an id that comes more than once."""
-    found = near_copies.near_copies(docs.select(*COLUMNS))
-    firsts = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    groups = found.join(firsts, "component").select("doc_id", "component_id")
-    kept = stash(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    ids = kept.select(F.col("doc_id").alias("__id"))
-    rest = docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group of near copies: of the smallest doc_id, null last, then of the smallest hash of its text."""
+    groups = near_copies.near_copies(docs.select(*COLUMNS))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = groups.groupBy("component", order.alias("row")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("row"))
+    kept = stash(first.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"), "n"), "kept")
+    rows = docs.select(*COLUMNS, near_copies.text_key("text").alias("__text"))
+    rest = rows.join(kept.select("__id", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
     if not kept.where("n > 1").isEmpty():
-        rest = rest.dropDuplicates(["doc_id"])
-    return rest
+        rest = rest.dropDuplicates(["doc_id", "__text"])
+    return rest.select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

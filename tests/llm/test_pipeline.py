@@ -57,3 +57,14 @@ def test_near_dedup_links_edited_copies(spark):
     for r in near_copies.near_copies(docs).collect():
         groups.setdefault(r["component"], set()).add(r["doc_id"])
     assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in sets if name[i] == low) for low in expected)
+
+
+def test_near_dedup_drops_rows_of_the_same_group_only(spark):
+    a, b, c, d, e, f = (prose(i, 60) for i in range(6))
+    texts = [(None, a), (None, b), (None, b), (None, edit(c, 1)), (3, c), (4, d), (4, e), (5, f), (5, c), (6, e)]
+    left = corpus_pipeline.drop_near_copies(spark, table(spark, texts).select(*corpus_pipeline.COLUMNS), "")
+    expected = [(None, a), (None, b), (3, c), (4, d), (4, e), (5, f)]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted((str(i), t) for i, t in expected)
+    once = [(3, c), (5, f), (5, c)]  # no kept id comes more than once
+    left = corpus_pipeline.drop_near_copies(spark, table(spark, once).select(*corpus_pipeline.COLUMNS), "")
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(3, c), (5, f)]

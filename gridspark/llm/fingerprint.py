@@ -6,7 +6,7 @@ taken away without the rest (`combine`). A vector has two kinds of lanes:
 
 - EXACT_LANES modulo 2**64, uniform and drawn by SHAKE-128 from the paragraph's bytes: equal multisets of
   paragraphs have equal sums, others differ but for a chance of about 2**-1024;
-- LIKE_LANES modulo 2**16: each byte window of WINDOW bytes of the paragraph adds +1 or -1 to the lane that its
+- LIKE_LANES modulo 2**32: each byte window of WINDOW bytes of the paragraph adds +1 or -1 to the lane that its
   hash names. These sums estimate inner products of window counts, hence the likeness of two documents:
   2ab / (aa + bb), cut to 0..1. The sums are read as signed numbers.
 
@@ -35,7 +35,7 @@ def vector(paragraphs: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The sum of the vectors of the paragraphs of a text in UTF-8."""
     exact = np.zeros(EXACT_LANES, dtype=np.uint64)
     if not paragraphs:
-        return exact, np.zeros(LIKE_LANES, dtype=np.uint16)
+        return exact, np.zeros(LIKE_LANES, dtype=np.uint32)
     lines = paragraphs.split(b"\n")
     drawn = b"".join([hashlib.shake_128(line).digest(8 * EXACT_LANES) for line in lines])
     exact = np.frombuffer(drawn, dtype="<u8").reshape(-1, EXACT_LANES).sum(axis=0, dtype=np.uint64)
@@ -58,17 +58,17 @@ def vector(paragraphs: bytes) -> tuple[np.ndarray, np.ndarray]:
     hashed *= _MIX
     lanes = (hashed >> np.uint64(40)).astype(np.int64) % LIKE_LANES
     signs = 1 - 2 * (hashed >> np.uint64(63)).astype(np.int64)
-    like = np.bincount(lanes, weights=signs, minlength=LIKE_LANES).astype(np.int64).astype(np.uint16)
+    like = np.bincount(lanes, weights=signs, minlength=LIKE_LANES).astype(np.int64).astype(np.uint32)
     return exact, like
 
 
 def to_text(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    return (print_[0].astype("<u8").tobytes() + print_[1].astype("<u2").tobytes()).hex()
+    return (print_[0].astype("<u8").tobytes() + print_[1].astype("<u4").tobytes()).hex()
 
 
 def from_text(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw[: 8 * EXACT_LANES], dtype="<u8").copy(), np.frombuffer(raw[8 * EXACT_LANES :], dtype="<u2").copy()
+    return np.frombuffer(raw[: 8 * EXACT_LANES], dtype="<u8").copy(), np.frombuffer(raw[8 * EXACT_LANES :], dtype="<u4").copy()
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
@@ -81,7 +81,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """1 for equal fingerprints, otherwise the estimate from the signed lanes, under 1."""
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
-    x, y = a[1].astype(np.int16).astype(float), b[1].astype(np.int16).astype(float)
+    x, y = a[1].astype(np.int32).astype(float), b[1].astype(np.int32).astype(float)
     whole = x @ x + y @ y
     return float(min(max(2 * (x @ y) / whole, 0.0), np.nextafter(1.0, 0.0))) if whole else 0.0
 

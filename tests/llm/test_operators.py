@@ -267,3 +267,11 @@ def test_toxicity_settings():
     rows = [(i, prose(i, 60) + (" zounds knave villain" * 3 if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
     assert toxicity.cross_validated_loss(rows, toxicity.SETTINGS) < 0.3
     assert toxicity.cross_validated_loss(rows[:5], toxicity.SETTINGS) == float("inf")
+
+
+def test_likeness_of_a_window_repeated_often():
+    a = fingerprint.vector(b"a" * 40_000)
+    b = fingerprint.vector(b"a" * 30_000 + b"b" * 10_000)
+    assert fingerprint.from_text(fingerprint.to_text(a))[1].tolist() == a[1].tolist()
+    assert 0.9 < fingerprint.likeness(a, b) < 1.0
+    assert fingerprint.likeness(a, fingerprint.vector(fingerprint.edited("a" * 40_000, "a" * 5_000).encode())) > 0.9

@@ -305,6 +305,18 @@ def setconv_offgrid(spark, sf_dir):
     return _kernel(predictors.setconv(context, points, 1.5))
 
 
+@query(None)
+def setconv_predict_whole(spark, sf_dir):
+    """All events of a date as context; weights beyond 8 lengths (under 2e-14) are left out."""
+    return _kernel(predictors.setconv(_daily(spark, sf_dir), _grid_targets(spark, sf_dir), 1.5, reach=12.0, every=True))
+
+
+@query(None)
+def setconv_offgrid_whole(spark, sf_dir):
+    points = spark.createDataFrame([(0, 4.2, 3.3), (1, 8.6, 1.1)], "target_id int, x1 double, x2 double")
+    return _kernel(predictors.setconv(_daily(spark, sf_dir), points, 1.5))
+
+
 @query("SELECT user_id % 10 AS cell_id, round(avg(d), 6) AS score FROM (SELECT user_id, CAST(ts AS DATE) AS date, sqrt(value) AS d FROM events) GROUP BY 1")
 def acquisition_mean(spark, sf_dir):
     std = read(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("cell_id"), F.sqrt("value").alias("std"))

@@ -12,11 +12,12 @@ TARGETS = 10_000
 JOINT_TARGETS = 2_000
 
 
-def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float | None = None, by: tuple[str, ...] = ("date",)) -> DataFrame:
+def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float | None = None, by: tuple[str, ...] = ("date",), every: bool = False) -> DataFrame:
     """Kernel mean sum(w y) / sum(w) with w = exp(-d2 / (2 length2)), and density sum(w).
 
     context: by, x1, x2, y; targets: target_id, x1, x2. With a reach (a bound of the distance), both sides are cut in
-    squares of that size and joined on neighbouring squares, so no target meets the whole context.
+    squares of that size and joined on neighbouring squares, so no target meets the whole context. A target without
+    context in reach has no row, or with `every` one of density 0 and null mean for each date of the context.
     """
     t = targets.select("target_id", F.col("x1").alias("t1"), F.col("x2").alias("t2"))
     c = context.where(F.col("y").isNotNull())
@@ -30,7 +31,11 @@ def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float
         near = t.withColumn("i", F.explode(F.array(*[square(F.col("t1")) + k for k in (-1, 0, 1)]))).withColumn("j", F.explode(F.array(*[square(F.col("t2")) + k for k in (-1, 0, 1)])))
         pairs = c.withColumns({"i": square(F.col("x1")), "j": square(F.col("x2"))}).join(near, ["i", "j"]).where(d2 <= reach * reach)
     w = F.exp(-d2 / F.lit(2 * length * length))
-    return pairs.groupBy(*by, "target_id").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("mean"), F.sum(w).alias("density"))
+    found = pairs.groupBy(*by, "target_id").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("mean"), F.sum(w).alias("density"))
+    if not every:
+        return found
+    all_rows = c.select(*by).distinct().crossJoin(t.select("target_id").distinct())
+    return all_rows.join(found, [*by, "target_id"], "left").fillna(0.0, ["density"])
 
 
 def gp_posterior(x: np.ndarray, y: np.ndarray, at: np.ndarray, length: float, noise: float, scale: float = 1.0, joint: bool = False) -> tuple[np.ndarray, np.ndarray]:

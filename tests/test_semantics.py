@@ -127,3 +127,26 @@ def test_predictors_and_placement(spark):
     rows = picks.orderBy("iteration").collect()
     assert len({r["cell_id"] for r in rows}) == 3 and field.count() == 11 + 10 + 9
     assert rows[0]["score"] >= rows[1]["score"] >= rows[2]["score"]
+
+
+def test_setconv_over_whole_dates(spark):
+    import numpy as np
+
+    from gridspark.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    daily = catalogue._daily(spark, sf).toPandas()
+    for name, points in (("setconv_predict_whole", catalogue._grid_targets(spark, sf).toPandas()[["target_id", "x1", "x2"]].values), ("setconv_offgrid_whole", [(0, 4.2, 3.3), (1, 8.6, 1.1)])):
+        got = {(r["date"], int(r["target_id"])): (r["mean"], r["density"]) for r in catalogue.QUERIES[name](spark, sf).collect()}
+        assert len(got) == daily["date"].nunique() * len(points)
+        for date, d in daily.groupby("date"):
+            for k, x1, x2 in points:
+                w = np.exp(-((d["x1"] - x1) ** 2 + (d["x2"] - x2) ** 2) / 4.5)
+                assert np.allclose(got[str(date), int(k)], ((w * d["y"]).sum() / w.sum(), w.sum()), atol=2e-6)
+
+
+def test_setconv_keeps_targets_out_of_reach(spark):
+    context = spark.createDataFrame([(1, 0.0, 0.0, 2.0)], "date int, x1 double, x2 double, y double")
+    targets = spark.createDataFrame([(0, 0.0, 0.0), (1, 50.0, 50.0)], "target_id int, x1 double, x2 double")
+    got = {r["target_id"]: (r["mean"], r["density"]) for r in predictors.setconv(context, targets, 1.0, reach=3.0, every=True).collect()}
+    assert got == {0: (2.0, 1.0), 1: (None, 0.0)}

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,8 @@ BATCH_ROWS = 2048
 
 _built: dict = {}
 _kept: dict = {}
+_stored: list[str] = []
+_path_of: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +36,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder only where that is unset (local runs)."""
+    """The shared folder of spark.checkpoint.dir; a temporary folder only where that is unset and the master is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = _built.get("scratch")
         if not shared:
             shared = _built["scratch"] = tempfile.mkdtemp(prefix="gridspark-")
@@ -50,7 +57,40 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove, spark, home)
     path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _stored.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+@contextmanager
+def stashes(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Yields keep(df, name): a stash that outlives the block. All other stashes made in the block are deleted at its end.
+
+    So what leaves the block must be a kept table, stored as a whole by then: no later task, and no recovery of a lost
+    one, reads what has been deleted.
+    """
+    begun, kept = len(_stored), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stash(df, name)
+        kept.add(_stored[-1])
+        return out
+
+    yield keep
+    made = _stored[begun:]
+    _stored[begun:] = [path for path in made if path in kept]
+    for path in made:
+        if path not in kept:
+            _remove(spark, path)
+
+
+def free(df: DataFrame) -> None:
+    """Delete a stash that nothing reads any more; other frames are left alone."""
+    path = _path_of.pop(df, None)
+    if path in _stored:
+        _stored.remove(path)
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, home: str) -> None:

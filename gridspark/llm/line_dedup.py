@@ -1,15 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are found by line hashes: each line's later holders are paired with its first
-holder (the smallest id), so a group of any size gives one pair for each of its members. A pair's lines are aligned
-by patience diff; aligned common blocks of enough words are deleted from the later document. A line keeps its first
-holder, so nothing is deleted everywhere.
-
-Lines with more holders than RARE make no pairs. For them the alignment is known beforehand: runs of such lines with
-the same first holder are blocks by themselves, under the same bound of words, however many documents hold them.
-
-A line's hash is the 64-bit xxHash of its text without spaces at the ends; blank lines belong to the block about
-them. Two different lines are taken for one with a chance of 2**-64 for each pair.
+A line goes if it lies in a block that an earlier document has as well: lines that follow one another in both, with at
+least BLOCK_WORDS words in all. The later of two documents is the one with the larger id, so nothing goes everywhere.
+
+Overlapping documents are found by hashes of their shortest stretches of lines with that many words (mostly single
+lines; short lines count with those before and after them). A stretch is rare or common alike: each of its later
+holders is paired with its first holder alone, so a group of any size gives one pair for each of its members and
+stretches, and each block that a document shares with any earlier one is shared, stretch by stretch, with documents
+it is paired with. A pair's lines are aligned by patience diff, and aligned common blocks go from the later document;
+a shared stretch that no rising alignment can take in (moved, or repeated in the later document) is a block by itself.
+
+A line's hash is the 64-bit xxHash of its text without spaces at the ends; its words are runs of anything but ASCII
+white space. Blank lines are lines without words. Two different lines or stretches are taken for one with a chance of
+about 2**-64 for each pair.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import by_size, map_batches, stash
+from gridspark.llm.common import map_batches, stash, stashes
 
-RARE, BLOCK_WORDS = 50, 10
-_KEY = "id {kind}, mark long"
+BLOCK_WORDS = 10
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -94,93 +98,85 @@ def blocks(found: list[tuple[int, int]], words: list[int], least: int = BLOCK_WO
     return out
 
 
-def common_runs(hashes: list[int], words: list[int], holders: dict[int, object], least: int = BLOCK_WORDS) -> list[int]:
-    """Lines in runs of common lines (hash -> first holder) of one holder; blank lines go with the run about them."""
-    out, run, owner = [], [], None
-
-    def close():
-        while run and not words[run[-1]]:
-            run.pop()
-        if sum(words[y] for y in run) >= least:
-            out.extend(run)
-
-    for y, h in enumerate(hashes):
-        if not words[y] and run:
-            run.append(y)
-            continue
-        mine = holders.get(h) if words[y] else None
-        if mine is None or mine != owner:
-            close()
-            run, owner = [], mine
-        if mine is not None:
-            run.append(y)
-    close()
-    return out
-
-
-def hash_line(line: str) -> int:
-    """Spark's xxhash64 of the line without spaces at its ends."""
-    h = xxhash.xxh64_intdigest(line.strip(" ").encode("utf-8"), 42)
-    return h - (1 << 64) if h >> 63 else h
-
+def stretches(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the shortest stretches with enough words from each line on and up to each line.
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rare: int = RARE, least: int = BLOCK_WORDS) -> DataFrame:
+    Every line of a run of lines with enough words lies in one of these that is within the run.
+    """
+    n = len(hashes)
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    ends = np.searchsorted(total, total[:-1] + least)
+    starts = np.searchsorted(total, total[1:] - least, side="right") - 1
+    spans = np.concatenate((np.arange(n)[ends <= n] * (n + 1) + ends[ends <= n], starts[starts >= 0] * (n + 1) + np.arange(1, n + 1)[starts >= 0]))
+    first, last = np.divmod(np.unique(spans), n + 1)
+    sums, powers, back = np.zeros(n + 1, np.uint64), np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    powers[1:], back[1:] = _BASE, _BACK
+    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    np.cumsum(hashes.astype(np.int64).view(np.uint64) * powers[:-1], dtype=np.uint64, out=sums[1:])
+    mixed = (sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+    return first, last, (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def common_lines(a: np.ndarray, a_words: np.ndarray, b: np.ndarray, b_words: np.ndarray, least: int = BLOCK_WORDS) -> list[int]:
+    """Lines of b in blocks it has in common with a."""
+    found = set(blocks(matches(a.tolist(), b.tolist()), b_words.tolist(), least))
+    first, last, own = stretches(b, b_words, least)
+    shared = np.isin(own, stretches(a, a_words, least)[2])
+    for x, y in zip(first[shared].tolist(), last[shared].tolist()):
+        found.update(range(x, y))
+    return sorted(found)
+
+
+def _arrays(column) -> list[np.ndarray]:
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return [flat[i:j] for i, j in zip(at.tolist(), at[1:].tolist())]
+
+
+def _stretches_of(batches, least: int):
+    for b in batches:
+        found = [np.unique(stretches(h, w, least)[2]) for h, w in zip(_arrays(b.column(1)), _arrays(b.column(2)))]
+        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["key", "stretch"])
+
+
+def _aligned(batches, least: int):
+    for b in batches:
+        found = [common_lines(x, v, y, w, least) for x, v, y, w in zip(*(_arrays(b.column(i)) for i in (1, 2, 3, 4)))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["key", "lines"])
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
     """docs with the remaining text, and columns n_lines and n_deleted.
 
-    The later of two documents is the one with the larger id; rows of one id are told apart by a hash of their text,
-    and rows equal in both are treated alike. A null text stays null (0 lines); a text that is deleted as a whole
-    becomes "". An empty table gives no rows. docs' own columns n_lines, n_deleted are replaced.
+    Rows of one id are told apart by a hash of their text, and rows equal in both are treated alike; a null id counts
+    as the smallest. A null text stays null (0 lines); a text that is deleted as a whole becomes "". An empty table
+    gives no rows. docs' own columns n_lines, n_deleted are replaced.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
+    shape = f"struct<id:{kind},mark:bigint>"
     trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x))
-    lines = F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("h"), F.when(F.trim(x) == "", 0).otherwise(F.regexp_count(x, F.lit("\\S+"))).alias("w")))
-    rows = stash(docs.where(F.col(text).isNotNull()).select(key.alias("key"), lines.alias("lines")).select("key", F.col("lines.h").alias("h"), F.col("lines.w").alias("w")), "lines")
-
-    held = rows.select("key", F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("x")).where("x.w > 0").select("key", F.col("x.h").alias("h"))
-    owners = stash(held.groupBy("h").agg(F.min("key").alias("owner"), F.count("*").alias("n")).where("n > 1"), "owners")
-    links = stash(held.join(owners, "h").where(F.col("key") > F.col("owner")), "links")
-
-    pairs = links.where(F.col("n") <= rare).select("owner", "key").distinct()
-    sequences = rows.dropDuplicates(["key"])
-    first = sequences.select(F.col("key").alias("owner"), F.col("h").alias("a"))
-    aligned = pairs.join(first, "owner").join(sequences, "key").select("key", "a", "h", "w")
-
-    def align(batches):
-        for b in batches:
-            found = [blocks(matches(x, y), w, least) for x, y, w in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["key", "lines"])
-
-    shape = "struct<" + _KEY.format(kind=kind).replace(" ", ":").replace(",:", ",") + ">"
-    from_pairs = map_batches(aligned, align, f"key {shape}, lines array<int>").where(F.size("lines") > 0)
-    gone = from_pairs.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
-    common = links.where(F.col("n") > rare).groupBy("key").agg(F.collect_list(F.struct("h", F.col("owner.id").cast("string").alias("id"), F.col("owner.mark").alias("mark"))).alias("common"))
-    decisions = gone.join(common, "key", "full").select(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark"), F.col("lines").alias("__lines"), F.col("common").alias("__common"))
+    lines = F.transform(trimmed, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit("\\S+")).alias("w")))
+    with stashes(docs.sparkSession) as keep:
+        rows = stash(docs.where(F.col(text).isNotNull()).select(key.alias("key"), lines.alias("lines")).select("key", F.col("lines.h").alias("h"), F.col("lines.w").alias("w")), "lines")
+        held = map_batches(rows, lambda batches: _stretches_of(batches, least), f"key {shape}, stretch long")
+        held = stash(held, "stretches")
+        owners = held.groupBy("stretch").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("stretch", "owner")
+        pairs = held.join(owners, "stretch").where(F.col("key") > F.col("owner")).select("owner", "key").distinct()
+        sequences = rows.dropDuplicates(["key"])
+        first = sequences.select(F.col("key").alias("owner"), F.col("h").alias("a"), F.col("w").alias("a_words"))
+        aligned = pairs.join(first, "owner").join(sequences, "key").select("key", "a", "a_words", "h", "w")
+        gone = map_batches(aligned, lambda batches: _aligned(batches, least), f"key {shape}, lines array<int>")
+        decisions = keep(gone.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("__lines")).select(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark"), "__lines"), "decisions")
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    at = names.index(text)
     keyed = docs.select(*[docs[c] for c in names], F.xxhash64(docs[text]).alias("__own"))
-    joined = keyed.join(decisions, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left").select(*[keyed[c] for c in names], "__lines", "__common")
-
-    def rewrite(batches):
-        for b in by_size(batches, at):
-            texts, counts, deleted = [], [], []
-            for value, lines_, common_ in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()):
-                if value is None:
-                    texts.append(None)
-                    counts.append(0)
-                    deleted.append(0)
-                    continue
-                own = value.split("\n")
-                dropped = set(lines_ or ())
-                if common_:
-                    dropped.update(common_runs([hash_line(x) for x in own], [len(x.split()) for x in own], {c["h"]: (c["id"], c["mark"]) for c in common_}, least))
-                texts.append("\n".join([x for y, x in enumerate(own) if y not in dropped]) if dropped else value)
-                counts.append(len(own))
-                deleted.append(len(dropped))
-            columns = [*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 : len(names)], pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_lines", "n_deleted"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return map_batches(joined, rewrite, StructType([*[docs.schema[c] for c in names], StructField("n_lines", LongType()), StructField("n_deleted", LongType())]))
+    joined = keyed.join(decisions, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    before, after = F.concat(F.array(F.lit(-1)), F.col("__lines")), F.concat(F.col("__lines"), F.array(n_lines.cast("int")))
+    runs = F.filter(F.zip_with(before, after, lambda x, y: F.struct((x + 2).alias("start"), (y - x - 1).alias("n"))), lambda r: r["n"] > 0)
+    # the array of one row binds the split lines once for all runs that stay
+    left = F.transform(F.array(F.split(F.col(text), "\n")), lambda own: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(own, r["start"], r["n"]))), "\n"))[0]
+    rest = [F.when(F.col("__lines").isNull(), keyed[c]).otherwise(left).alias(c) if c == text else keyed[c] for c in names]
+    return joined.select(*rest, n_lines.alias("n_lines"), F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_deleted"))

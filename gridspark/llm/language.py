@@ -29,15 +29,18 @@ class Profiles:
 
     def __init__(self):
         self.symbol = np.full(0x110000, -1, dtype=np.int32)
-        self.symbol[:256] = [self._class(chr(i)) for i in range(256)]
+        self.is_letter = np.zeros(0x110000, dtype=bool)
+        self._learn(range(256))
         self.letters: dict[int, np.ndarray] = {}
         self.row_of: dict[int, int] = {}
         self.rows = np.zeros((0, DIMENSIONS), dtype=np.float32)
 
-    @staticmethod
-    def _class(char: str) -> int:
-        """The code point of a letter, 0 for what separates words."""
-        return ord(char) if unicodedata.category(char)[0] in "LM" else 0
+    def _learn(self, codes) -> None:
+        """Symbols of code points: letters and marks (which stand in words) are themselves, 0 is what separates words."""
+        for code in codes:
+            kind = unicodedata.category(chr(code))[0]
+            self.symbol[code] = code if kind in "LM" else 0
+            self.is_letter[code] = kind == "L"
 
     def letter(self, code: int) -> np.ndarray:
         known = self.letters.get(code)
@@ -53,8 +56,9 @@ class Profiles:
         """Different letter trigrams (words padded by one separator) and how often each comes."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         symbols = self.symbol[codes]
-        for code in np.unique(codes[symbols < 0]):
-            self.symbol[code] = self._class(chr(code))
+        self._learn(np.unique(codes[symbols < 0]).tolist())
+        if not self.is_letter[codes].any():  # marks alone are no letters
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         s = self.symbol[codes].astype(np.int64)
         s = np.concatenate(([0], s, [0]))
         s = s[(s != 0) | np.concatenate(([True], s[:-1] != 0))]

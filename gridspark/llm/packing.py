@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import os
 import zlib
 
@@ -30,14 +31,22 @@ from gridspark.llm.common import binary_column, by_size, gather, map_batches, pe
 
 #: Tokens in a window: 16 sequences, so that most documents of a small source stay in one piece.
 WINDOW = 16 * 4096
-#: Queues at most; more sources than this share queues by hash.
-QUEUES = 2048
+#: Buckets of a queue's (source, part) rows.
+BUCKETS = 256
 #: Base rows up to this number are broadcast (40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 CACHE_RUNS, CACHE_WORDS = 100_000, 700_000
 PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
 
+def check_form(definition: bytes) -> None:
+    """ValueError for a tokenizer of another form than the one that CachedTokenizer's caches are right for."""
+    form = json.loads(definition)
+    kinds = lambda part, name: [x["type"] for x in ((form.get(part) or {}).get(name) or [])]
+    if (kinds("normalizer", "normalizers"), kinds("pre_tokenizer", "pretokenizers"), form["model"].get("end_of_word_suffix")) != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "</w>"):
+        raise ValueError("the tokenizer must lower case, drop white space, split words from marks and end words in </w>")
+
+
 class CachedTokenizer:
     """A tokenizer that lowers case and drops white space, with caches of the ids of runs of other characters.
 
@@ -50,6 +59,7 @@ class CachedTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        check_form(definition)
         self.tokenizer = Tokenizer.from_str(definition.decode("utf-8"))
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         vocabulary = self.tokenizer.get_vocab()
@@ -211,21 +221,23 @@ class RoundRobin:
         return out
 
 
-def queues(totals: dict[str, int], weights: dict[str, float] | None, window: int) -> tuple[dict[str, int], list[int], list[float] | None]:
-    """Queue of each source key, tokens of each queue, weight of each queue.
+def queues(totals: dict[str | None, int], weights: dict[str, float] | None, window: int) -> tuple[dict[str | None, int], list[int], list[float] | None]:
+    """Queue of each source, tokens of each queue, weight of each queue. None: all sources that are not named.
 
-    A source with less than one token a window would make the rounding run backwards; such sources share a queue.
+    A source with less than two tokens a window would make the rounding run backwards; such sources share a queue.
+    Sources without a weight share one that sends when the others are empty.
     """
-    total, order = sum(totals.values()), sorted(totals)
+    total, order = sum(totals.values()), sorted(s for s in totals if s is not None) + [None] * (None in totals)
     share = {s: totals[s] / total if total else 1.0 for s in order}
     if weights is not None:
         given = sum(weights.get(s, 0.0) for s in order) or 1.0
         share = {s: weights.get(s, 0.0) / given for s in order}
-    small = [s for s in order if min(share[s], totals[s] / max(total, 1)) * window < 2] if total > window else []
-    large = [s for s in order if s not in set(small)]
+    idle = [s for s in order if not share[s]]
+    small = [s for s in order if share[s] and (s is None or min(share[s], totals[s] / total) * window < 2)] if total > window else []
+    large = [s for s in order if s not in {*small, *idle}]
     if small and large and sum(share[s] for s in small) * window < 2:
         small.append(large.pop(min(range(len(large)), key=lambda i: totals[large[i]])))
-    groups = [[s] for s in large] + ([small] if small else [])
+    groups = [[s] for s in large] + [g for g in (small, idle) if g]
     number = {s: k for k, g in enumerate(groups) for s in g}
     return number, [sum(totals[s] for s in g) for g in groups], None if weights is None else [sum(share[s] for s in g) for g in groups]
 
@@ -234,11 +246,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
     """Pack all documents; a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     weights: target token proportions of the sources (null is the source ""); by default those of the corpus, with
-    which every window is filled to target up to the end. A null or empty text is the end id alone. Repeated ids
+    which every window is filled to target up to the end. Sources of less than two tokens a window share a queue, in which
+    one follows another. With weights, sources that have none come last. A null or empty text is the end id alone. Repeated ids
     are packed as often as they come. An empty table gives no rows. Columns that are not named are not read.
     """
     spark = docs.sparkSession
-    definition = spark.sparkContext.broadcast(read_bytes(tokenizer_path))
+    check_form(definition_bytes := read_bytes(tokenizer_path))
+    definition = spark.sparkContext.broadcast(definition_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
     cores = {"tokenizer": lambda d: per_process(("words", hashlib.sha256(d).digest()), lambda: CachedTokenizer(d))}
 
@@ -259,16 +273,23 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
     tokens = stash(map_batches(chosen, tokenize, f"id {kind}, source string, part int, place long, n long, ids binary"), "tokens")
 
     sums = stash(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "sums")
-    key = F.col("source")
-    if weights is None and sums.select("source").distinct().limit(QUEUES + 1).count() > QUEUES:
-        key = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string"))
-    per_source = {r["key"]: r["n"] for r in sums.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).collect()}  # QUEUES rows at most, or the weights' own
-    number, totals, shares = queues(per_source, weights, window)
+    # sources with two tokens a window or more, of which there are window / 2 at most, or those that have a weight
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    of_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    named = of_source.where(F.col("n") * F.lit(window) >= F.lit(2 * total)) if weights is None else of_source.where(F.col("source").isin(*weights))
+    totals_by: dict[str | None, int] = {r["source"]: r["n"] for r in named.collect()}
+    if total > sum(totals_by.values()):
+        totals_by[None] = total - sum(totals_by.values())
+    number, totals, shares = queues(totals_by, weights, window)
     plan = RoundRobin(totals, shares, window, length) if totals else None
 
-    names = spark.createDataFrame(list(number.items()) or [("", 0)], "key string, queue int")
-    ordered = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("key", key).join(F.broadcast(names), "key").select("part", "source", "queue", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("base"))
+    names = spark.createDataFrame([(s, k) for s, k in number.items() if s is not None], "source string, queue int")
+    dealt = sums.join(F.broadcast(names), "source", "left").select("part", "source", "n", F.coalesce("queue", F.lit(number.get(None, 0))).alias("queue"), F.pmod(F.xxhash64("source", "part"), F.lit(BUCKETS)).alias("bucket"))
+    # running sums within a bucket and over a queue's buckets, so that no task has all parts of a queue
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    opening = dealt.groupBy("queue", "bucket").agg(F.sum("n").alias("n")).select("queue", "bucket", F.coalesce(F.sum("n").over(before("queue").orderBy("bucket")), F.lit(0)).alias("opening"))
+    within = dealt.select("*", F.coalesce(F.sum("n").over(before("queue", "bucket").orderBy("source", "part")), F.lit(0)).alias("within"))
+    base = within.join(opening, ["queue", "bucket"]).select("part", "source", "queue", (F.col("opening") + F.col("within")).alias("base"))
     if sums.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
     placed = tokens.join(base, ["part", "source"]).select("id", "source", "queue", (F.col("base") + F.col("place")).alias("at"), "n", "ids")

@@ -1,8 +1,14 @@
-"""Near copies: texts linked by the Jaccard similarity of their sets of word shingles.
+"""Near copies: texts linked by the Jaccard similarity of their sets of word shingles, over SimHash and minima.
 
-Texts of equal shingle sets are one node. Each node has ROWS x BANDS minima of its hashed shingles under random
-multiplications, and nodes that agree in the ROWS minima of a band share a bucket. A pair of similarity s shares none
-with probability (1 - s**ROWS)**BANDS: 7e-10 at 0.8, less above. All pairs of a bucket are then verified exactly, in one task.
+Texts of equal shingle sets are one node. Candidates are nodes whose SimHash fingerprints lie within NEAR bits, found by
+the grid join of `simhash`, and nodes that share a bucket. Fingerprints of 64 bits alone cannot do: at a similarity of 0.8
+some ten bits differ, a radius at which neighbouring cells of the grid are nearly all cells. So each node also has
+ROWS x BANDS minima of its hashed shingles under random multiplications, and nodes that agree in the ROWS minima of a
+band share a bucket. A pair of similarity s shares none with probability (1 - s**ROWS)**BANDS: 7e-10 at 0.8, less above.
+
+Candidates are verified exactly, pair by pair, but a large group is never paired with itself: first each node meets one
+smallest node of its buckets alone; then, in buckets that still hold several components, each node meets one node of
+each other component; and only what is in a bucket and not in one component after that meets pair by pair.
 """
 
 from __future__ import annotations
@@ -13,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import by_size, map_batches, stash
+from gridspark.llm.common import by_size, map_batches, stash, stashes
 from gridspark.llm.components import components
-from gridspark.llm.simhash import SEED, words
+from gridspark.llm.simhash import SEED, near_pairs, simhash, words
 
 SIZE, LEAST = 5, 0.8
+#: Bits between fingerprints of candidates.
+NEAR = 2
 ROWS, BANDS = 4, 40
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,7 +68,7 @@ def text_key(text: str):
 
 
 def _prints(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, text_key, node (number of the shingle set), n (its size) and bands of every row."""
+    """id, text_key, node (number of the shingle set), n (its size), fingerprint and bands of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -69,47 +77,33 @@ def _prints(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], pa.uint64()).view(pa.int64())
             flat = np.concatenate([bands(s) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
             cut = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array([len(s) for s in sets], pa.int64()), cut], names=["id", "text_key", "node", "n", "bands"])
+            prints = pa.array([simhash(t, SIZE) for t in b.column(2).to_pylist()], pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array([len(s) for s in sets], pa.int64()), prints, cut], names=["id", "text_key", "node", "n", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(rows, run, f"id {kind}, text_key string, node long, n long, bands array<long>")
-
+    return map_batches(rows, run, f"id {kind}, text_key string, node long, n long, fp long, bands array<long>")
 
-def _linked(batches, least: float):
-    """Links of a partition's buckets (rows band, n, node, text in this order): a forest of each bucket's exact pairs.
-
-    Sets too small for all that follow are let go, so a bucket's sets of like sizes are what is held in memory.
-    """
-    bucket, active, parent = None, [], {}
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for b in by_size(batches, 3):
+def _similar(batches, least: float):
+    """Rows (a, b, a's text, b's text) whose shingle sets have at least this similarity."""
+    last = (None, None)  # b's set, as many rows in turn can have the same b
+    for batch in by_size(by_size(batches, 2), 3):
         out = [], []
-        for band, n, node, text in zip(*(c.to_pylist() for c in b.columns)):
-            if band != bucket:
-                bucket, active, parent = band, [], {}
+        for a, b, text, other in zip(*(c.to_pylist() for c in batch.columns)):
+            if last[0] != b:
+                last = b, shingles(other)
             own = shingles(text)
-            parent[node] = node
-            active = [x for x in active if len(x[1]) >= (least - 1e-9) * n]
-            if active:
-                sizes = np.array([len(x[1]) for x in active])
-                flat = np.concatenate([x[1] for x in active])
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-                for k in np.flatnonzero(both >= (least - 1e-9) * (sizes + n - both)):
-                    other, mine = root(active[k][0]), root(node)
-                    if other != mine:
-                        parent[max(other, mine)] = min(other, mine)
-                        out[0].append(active[k][0])
-                        out[1].append(node)
-            active.append((node, own))
+            both = len(np.intersect1d(own, last[1], assume_unique=True))
+            if both >= (least - 1e-9) * (len(own) + len(last[1]) - both):
+                out[0].append(a)
+                out[1].append(b)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+
+
 def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, text_key and component (a number) of every row: rows linked, over others too, by a similarity of `least`.
 
@@ -117,15 +111,50 @@ def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", t
     """
     if least < LEAST:
         raise ValueError(f"the bands cover similarities from {LEAST} on")
-    prints = stash(_prints(docs, id_col, text), "prints")
-    nodes = stash(prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.where("n > 0").select("node", "n", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    shared = stash(members.join(buckets, "band").select("band", "n", "node"), "shared")
-    wanted = shared.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-    texts = docs.select(text_key(text).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    held = stash(texts.join(wanted, "text_key").select("node", "text").dropDuplicates(["node"]), "texts")
-    dealt = shared.join(held, "node").select("band", "n", "node", "text").repartition("band").sortWithinPartitions("band", "n", "node")
-    links = stash(map_batches(dealt, lambda batches: _linked(batches, least), "a long, b long"), "links").distinct()
-    labels = components(links, nodes.select("node", F.col("node").alias("first")))
+    with stashes(docs.sparkSession) as keep:
+        prints = keep(_prints(docs, id_col, text), "prints")
+        nodes = stash(prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("n > 0"), "nodes")
+
+        members = nodes.select("node", "n", F.explode("bands").alias("band"))
+        lowest = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", "lo")
+        shared = stash(members.join(lowest, "band"), "shared")
+        votes = shared.where("node > lo").groupBy("node", "lo").agg(F.count("*").alias("n"))
+        first = votes.groupBy("node").agg(F.max_by("lo", F.struct("n", "lo")).alias("lo")).select(F.col("node").alias("x"), F.col("lo").alias("y"))
+        printed = nodes.groupBy("fp").agg(F.min("node").alias("lo"))
+        same = nodes.join(printed, "fp").select(F.col("node").alias("x"), F.col("lo").alias("y"))
+        near = near_pairs(printed.select("fp"), NEAR).join(printed.select(F.col("fp").alias("a"), F.col("lo").alias("x")), "a").join(printed.select(F.col("fp").alias("b"), F.col("lo").alias("y")), "b").select("x", "y")
+        tried = stash(_ordered(first.unionByName(same).unionByName(near)), "tried")
+
+        wanted = shared.select("node").unionByName(tried.select(F.col("a").alias("node"))).unionByName(tried.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_key"), "node")
+        texts = docs.select(text_key(text).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        held = stash(texts.join(wanted, "text_key").select("node", "text").dropDuplicates(["node"]), "texts")
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            ends = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+            return stash(map_batches(ends.select("a", "b", "a_text", "b_text"), lambda batches: _similar(batches, least), "a long, b long"), "links")
+
+        def labelled(links: DataFrame) -> DataFrame:
+            return components(links, nodes.select("node", F.col("node").alias("first")))
+
+        def unsettled(labels: DataFrame) -> DataFrame:
+            """Members of the buckets that hold several components."""
+            at = stash(shared.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")), "members")
+            several = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+            return stash(at.join(several, "band"), "unsettled")
+
+        def met(rows: DataFrame, others: DataFrame) -> DataFrame:
+            """Pairs of a bucket in different components, of sizes that allow the similarity."""
+            y = others.select("band", F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"))
+            found = rows.join(y, "band").where((F.col("component") != F.col("other")) & (F.least("n", "m") >= (least - 1e-9) * F.greatest("n", "m")))
+            return _ordered(found.select(F.col("node").alias("x"), "y"))
+
+        links = verified(tried)
+        rest = unsettled(labelled(links))
+        one = rest.groupBy("band", "component").agg(F.min(F.struct("node", "n")).alias("s")).select("band", "component", "s.node", "s.n")
+        second = stash(met(rest, one).join(tried, ["a", "b"], "left_anti"), "tried")
+        links = links.unionByName(verified(second))
+        rest = unsettled(labelled(links))
+        third = met(rest, rest).join(tried.unionByName(second), ["a", "b"], "left_anti")
+        links = links.unionByName(verified(third))
+        labels = keep(labelled(links), "labels")
     return prints.join(labels, "node", "left").select(F.col("id").alias(id_col), "text_key", F.coalesce("component", "node").alias("component"))

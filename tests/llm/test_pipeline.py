@@ -68,3 +68,29 @@ def test_near_dedup_drops_rows_of_the_same_group_only(spark):
     once = [(3, c), (5, f), (5, c)]  # no kept id comes more than once
     left = corpus_pipeline.drop_near_copies(spark, table(spark, once).select(*corpus_pipeline.COLUMNS), "")
     assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(3, c), (5, f)]
+
+
+def test_near_copies_of_large_groups_and_chains(spark):
+    """Groups of many different near copies, and chains whose ends are unlike, against all pairs."""
+    texts, base = [], [prose(50 + g, 80) for g in range(4)]
+    for g in range(4):
+        for k in range(40):
+            words = base[g].split()
+            words[(k * 7) % 80] = f"own{k}"
+            texts.append((1000 * g + k, " ".join(words)))
+    words = prose(99, 100).split()
+    for k in range(30):  # a chain: each text drops two words at the front and gets two at the end
+        texts.append((9000 + k, " ".join(words[2 * k :] + [f"end{i}" for i in range(2 * k)])))
+    texts.append((9999, None))
+    sets = {i: set(zip(*((t or "").split()[k:] for k in range(5)))) for i, t in texts}
+    name = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = {i: low if x == high else x for i, x in name.items()}
+    groups = {}
+    for r in near_copies.near_copies(table(spark, texts)).collect():
+        groups.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in sets if name[i] == low) for low in set(name.values()))
+    assert len({name[9000 + k] for k in range(30)}) == 1

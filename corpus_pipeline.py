@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import language, line_dedup, near_copies, packing, toxicity
-from gridspark.llm.common import stash, table
+from gridspark.llm.common import free, stashes, table
 
 #: A text is toxic from this probability on.
 TOXIC_FROM = 0.7
@@ -44,10 +44,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: of the smallest doc_id, null last, then of the smallest hash of its text."""
-    groups = near_copies.near_copies(docs.select(*COLUMNS))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    first = groups.groupBy("component", order.alias("row")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("row"))
-    kept = stash(first.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"), "n"), "kept")
+    with stashes(spark) as keep:
+        groups = near_copies.near_copies(docs.select(*COLUMNS))
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+        first = groups.groupBy("component", order.alias("row")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("row"))
+        kept = keep(first.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"), "n"), "kept")
     rows = docs.select(*COLUMNS, near_copies.text_key("text").alias("__text"))
     rest = rows.join(kept.select("__id", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
     if not kept.where("n > 1").isEmpty():
@@ -73,9 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has stored for itself, and its input, go once its output is stored."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with stashes(spark) as keep:
+            left = keep(stage(spark, docs, sf_dir), name)
+        free(docs)
+        docs = left
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,16 +1,13 @@
 """SimHash near-duplicates: segment-popcount embedding and a grid range join.
 
-A 64-bit fingerprint is embedded as the bit counts of its eight segments of eight bits. The Manhattan distance of
+A 64-bit fingerprint is embedded as the bit counts of its sixteen segments of four bits. The Manhattan distance of
 two embeddings is a lower bound of the Hamming distance of the fingerprints, so all pairs within the wanted
-distance lie in cells of the count grid at most that far apart. Each different fingerprint goes once to its own
-cell and once to each cell of half of the neighbourhood; the other half is the same pairs seen from the other
-side. Pairs that meet are verified exactly, in the join's condition.
+distance lie in cells of the count grid at most that far apart. Each different fingerprint goes to its own cell and
+to those within half of the distance, where all such pairs meet; they are verified exactly, in the join's condition.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, product
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,7 +17,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import by_size, map_batches, stash
 from gridspark.llm.components import components
 
-SEGMENTS, SEED = 8, 42
+SEGMENTS, BITS, SEED = 16, 4, 42
 
 
 def words(text: str) -> list[bytes]:
@@ -55,22 +52,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return map_batches(docs.select(docs[id_col].alias("id"), docs[text].alias("text")), run, f"id {kind}, fp long")
 
 
-def half_neighbourhood(distance: int) -> list[int]:
-    """Differences of packed cells (4 bits a segment) of Manhattan length 1..distance, one of each d and -d.
+def neighbourhood(radius: int) -> list[int]:
+    """Differences of packed cells (4 bits a segment) of Manhattan length up to radius, 0 among them.
 
-    A cell with a count below 0 or above 8 has no fingerprints, and no sum of such a difference and a cell wraps
-    around to another cell: counts take 4 bits, and a borrow leaves 9..15 behind.
+    Counts are 0..4 and differences of two sums of such stay within -7..7 for radii up to 2, so different cells
+    have different packed numbers.
     """
-    found = set()
-    for n in range(1, distance + 1):
-        for segments in combinations(range(SEGMENTS), n) if n == 1 else product(range(SEGMENTS), repeat=n):
-            for signs in product((1, -1), repeat=n):
-                delta = [0] * SEGMENTS
-                for s, g in zip(segments, signs):
-                    delta[s] += g
-                length = sum(map(abs, delta))
-                if 0 < length <= distance and next(x for x in delta if x) > 0:
-                    found.add(sum(d << 4 * s for s, d in enumerate(delta)))
+    found = {0}
+    for _ in range(radius):
+        found |= {f + (sign << 4 * s) for f in found for s in range(SEGMENTS) for sign in (1, -1)}
     return sorted(found)
 
 
@@ -78,21 +68,28 @@ def cell(fp):
     """Packed bit counts of the segments."""
     out = F.lit(0).cast("long")
     for s in range(SEGMENTS):
-        segment = F.shiftrightunsigned(fp, 8 * s).bitwiseAND(F.lit(255))
+        segment = F.shiftrightunsigned(fp, BITS * s).bitwiseAND(F.lit((1 << BITS) - 1))
         out = out + F.shiftleft(F.bit_count(segment).cast("long"), 4 * s)
     return out
 
 
 def near_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """Pairs (a, b) of different fingerprints (column fp, all different) within the Hamming distance."""
+    """Pairs (a, b), a < b, of different fingerprints (column fp, all different) within the Hamming distance.
+
+    Cells within the distance of each other have a cell between them, within half of it of both. So a fingerprint goes
+    to all cells within that half, and those that meet in one are verified in the join's condition.
+    """
     if not 0 < distance <= 3:
         raise ValueError("distance is 1, 2 or 3")
     at = prints.select("fp", cell(F.col("fp")).alias("cell"))
-    steps = F.array(F.lit(0).cast("long"), *[F.lit(d).cast("long") for d in half_neighbourhood(distance)])
-    probes = at.select(F.col("fp").alias("a"), "cell", F.explode(steps).alias("step")).select("a", (F.col("cell") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("own"))
-    homes = at.select(F.col("fp").alias("b"), "cell")
-    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & (~F.col("own") | (F.col("a") < F.col("b")))
-    return probes.join(homes.hint("merge"), (probes["cell"] == homes["cell"]) & close).select("a", "b")
+
+    def spread(radius: int, name: str) -> DataFrame:
+        steps = F.array(*[F.lit(d).cast("long") for d in neighbourhood(radius)])
+        return at.select("fp", "cell", F.explode(steps).alias("step")).select(F.col("fp").alias(name), (F.col("cell") + F.col("step")).alias("cell"))
+
+    far, near = spread(distance - distance // 2, "a"), spread(distance // 2, "b")
+    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return far.join(near.hint("merge"), (far["cell"] == near["cell"]) & close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:

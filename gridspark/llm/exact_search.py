@@ -24,6 +24,8 @@ from gridspark.llm.common import stash
 SEGMENTS, BITS = 4, 16
 #: Codes that give each query its first bound.
 PROBE_CODES = 1024
+#: Parts in which a query's candidates are ranked before they are ranked together.
+PARTS = 32
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector: str, bits: int = 64) -> DataFrame:
@@ -81,6 +83,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for radius in range(BITS + 1):
         cells = _spread(active, "a").select("a", "most", "s", "v")
         probes = cells.withColumn("m", F.explode(_numbers(masks(radius), "int"))).select("a", "most", "s", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
+        # merged: a broadcast of the index, which Spark takes for small by its bytes on disk, would not fit a driver
         hit = probes.join(index.hint("merge"), (probes["s"] == index["s"]) & (probes["v"] == index["v"]) & (distance(probes["a"], index["b"]) <= probes["most"]))
         new = hit.select("a", "b").distinct()
         fresh = new.select("a", "b", distance(F.col("a"), F.col("b")).alias("d"))
@@ -88,14 +91,21 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         covered = SEGMENTS * radius + SEGMENTS - 1
         # the (k + 1)th verified distance bounds the search from now on; once it is covered, the query is done
         sizes = table.select(F.col("code").alias("b"), F.size("ids").alias("n"))
-        verified = found.join(sizes, "b").groupBy("a").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("d", F.col("n"))))).alias("ds"))
-        nearer = active.join(verified, "a", "left").select("a", F.least("most", F.coalesce(F.get("ds", F.lit(k)), F.col("most"))).alias("most"))
+        # a row for each query and distance, so a query's list has at most 65 entries however many codes it has met
+        counts = found.join(sizes, "b").groupBy("a", "d").agg(F.sum("n").alias("n")).groupBy("a").agg(F.collect_list(F.struct("d", "n")).alias("ds"))
+        reached = lambda x: F.aggregate("ds", F.lit(0).cast("long"), lambda acc, y: acc + F.when(y["d"] <= x["d"], y["n"]).otherwise(0)) > k  # noqa: E731, B023
+        verified = counts.select("a", F.array_min(F.transform(F.filter("ds", reached), lambda x: x["d"])).alias("kth"))
+        nearer = active.join(verified, "a", "left").select("a", F.least("most", F.coalesce("kth", "most")).alias("most"))
         active = stash(nearer.where(F.col("most") > covered), f"active{radius}")
         if active.isEmpty():
             break
     named = asked.select(F.col("id").alias("query_id"), F.col("code").alias("a"))
-    ranked = Window.partitionBy("a").orderBy("d", "neighbour_id")
-    best = found.join(table.select(F.col("code").alias("b"), "ids"), "b").select("a", "d", F.explode("ids").alias("neighbour_id")).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
+    # the first of each part, then of all: the candidates of a query that shares its cells with many meet in no single task
+    part = F.pmod(F.xxhash64("neighbour_id"), F.lit(PARTS))
+    listed = found.join(table.select(F.col("code").alias("b"), "ids"), "b").select("a", "d", F.explode("ids").alias("neighbour_id"))
+    best = listed
+    for keys in (["a", part], ["a"]):
+        best = best.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("d", "neighbour_id"))).where(F.col("n") <= k + 1).drop("n")
     lists = stash(best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("d", F.col("neighbour_id").alias("i")))).alias("near")), "lists")
     answer = named.join(lists, "a").select("query_id", F.slice(F.filter("near", lambda x: x["i"] != F.col("query_id")), 1, k).alias("near"))
     return answer.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.i").alias("neighbour_id"), F.col("x.d").cast("int").alias("distance"))

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import by_size, fold, map_batches, stash
-from gridspark.llm.toxicity import logistic_fit
+from gridspark.llm.toxicity import excerpt, logistic_fit
 
-#: Labelled documents of each class that the fit reads at most, and their longest text; what is scored is whole.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 30_000
+#: Labelled documents of each class that the fit reads at most (long ones in excerpts); what is scored is whole.
+TRAIN_DOCS = 3000
 #: Host and path tables up to this number of rows are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Bounds of the strength (in documents) of a prior, for where the spread says nothing.
@@ -56,8 +56,8 @@ def sample(docs: DataFrame, labels: DataFrame, usable) -> list[tuple[str, int]]:
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     drawn = known.where(draw < F.when(F.col("quality") == 1, TRAIN_DOCS / max(sizes.get(1, 0), 1)).otherwise(TRAIN_DOCS / max(sizes.get(0, 0), 1)))
-    short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
-    return [(r["text"], r["quality"]) for r in short.join(F.broadcast(drawn), "doc_id").select("text", "quality").limit(3 * TRAIN_DOCS).collect()]
+    read = docs.where(F.col("text").isNotNull()).select("doc_id", excerpt("text").alias("text"))
+    return [(r["text"], r["quality"]) for r in read.join(F.broadcast(drawn), "doc_id").select("text", "quality").limit(3 * TRAIN_DOCS).collect()]
 
 
 def evidence(docs: DataFrame, model: dict | None, host: str, path: str, id_col: str = "doc_id") -> DataFrame:

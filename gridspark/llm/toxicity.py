@@ -2,7 +2,9 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. Each window of a text is
 compressed with the ordinary dictionary alone and with the toxic one laid beside it; a window is the more toxic
-the shorter the second is than the first. A document's windows are summed up by the largest difference, the windows
+the shorter the second is than the first. (With the toxic dictionary by itself, the lengths of ordinary words, which
+each dictionary holds by chance, drown the few bytes that a toxic word saves; the README has the figures.) A document's
+windows are summed up by the largest difference, the windows
 over the threshold and their share, and turned to a probability by a logistic curve that was fitted on labelled
 documents which neither dictionary has seen.
 
@@ -12,6 +14,7 @@ toxic text and that ordinary text hardly has; the dictionary trainer keeps what
 
 from __future__ import annotations
 
+import struct
 import zlib
 from typing import NamedTuple
 
@@ -23,9 +26,11 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import by_size, fold, map_batches, per_process
 
-#: The fit reads at most so many labelled documents that are toxic, and twice as many that are not, of TRAIN_CHARS
-#: characters at most. This bounds the fit alone; what is scored is whole.
-TRAIN_DOCS, TRAIN_CHARS = 2000, 30_000
+#: The fit reads at most so many labelled documents that are toxic, and twice as many that are not. Of a text of more
+#: than TRAIN_CHARS characters it reads as many, in EXCERPTS stretches at even distances. This bounds the fit alone;
+#: what is scored is whole.
+TRAIN_DOCS, TRAIN_CHARS, EXCERPTS = 2000, 30_000, 10
+_OFFSETS = struct.pack("<3I", 1, 4, 8)
 
 
 class Settings(NamedTuple):
@@ -33,10 +38,10 @@ class Settings(NamedTuple):
     and in how many times their share of ordinary ones, bytes of the dictionaries."""
 
     window: int = 96
-    overlap: int = 24
+    overlap: int = 16
     gram: int = 4
-    recur: int = 3
-    contrast: int = 30
+    recur: int = 2
+    contrast: int = 40
     toxic_bytes: int = 4 << 10
     ordinary_bytes: int = 64 << 10
 
@@ -156,7 +161,11 @@ def fit(rows: list[tuple[int, str, int]], settings: Settings = SETTINGS) -> dict
 
 
 def cross_validated_loss(rows: list[tuple[int, str, int]], settings: Settings, folds: int = 3) -> float:
-    """Log loss on each fold of a fit on the others, over rows that may be learned from. SETTINGS was chosen by it."""
+    """Log loss on each fold of a fit on the others, over rows that may be learned from.
+
+    SETTINGS has the least sum of it over the training rows of two tables, among 36 settings drawn at random from a
+    grid (window 48 to 256, overlap 16 or 32, gram 3 to 6, recur 2 to 8, contrast 5 to 80, dictionaries 2 to 110 KB).
+    """
     total = n = 0.0
     for k in range(folds):
         inside = [r for r in rows if zlib.crc32(f"fold {r[0]}".encode()) % folds != k]
@@ -172,11 +181,25 @@ def cross_validated_loss(rows: list[tuple[int, str, int]], settings: Settings, f
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary trained on the samples; the samples' end where there are too few to train."""
+    """Content of a dictionary trained on the samples; the samples' end where there are too few to train.
+
+    What a trained dictionary has before its content (entropy tables, ended by three start offsets) is left out, as
+    these tables do not serve windows of so few bytes.
+    """
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        whole = zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:]
+    at = whole.find(_OFFSETS)
+    return whole[at + len(_OFFSETS) :] if at >= 0 else whole
+
+
+def excerpt(text: str):
+    """The text, or stretches of it at even distances, put together, where it is longer than TRAIN_CHARS."""
+    n = TRAIN_CHARS // EXCERPTS
+    step = (F.length(text) - n) / (EXCERPTS - 1)
+    parts = [F.substring(F.col(text), (step * k).cast("int") + 1, F.lit(n)) for k in range(EXCERPTS)]
+    return F.when(F.length(text) <= TRAIN_CHARS, F.col(text)).otherwise(F.concat(*parts))
 
 
 def held_out(doc_id="doc_id"):
@@ -192,8 +215,8 @@ def sample(docs: DataFrame, labels: DataFrame, usable=None) -> list[tuple[int, s
     draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     share = F.when(F.col("toxic") == 1, TRAIN_DOCS / max(sizes.get(1, 0), 1)).otherwise(2 * TRAIN_DOCS / max(sizes.get(0, 0), 1))
     drawn = known.where(draw < share)  # about 3 TRAIN_DOCS ids
-    short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
-    return [(r["doc_id"], r["text"], r["toxic"]) for r in short.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").limit(4 * TRAIN_DOCS).collect()]
+    read = docs.where(F.col("text").isNotNull()).select("doc_id", excerpt("text").alias("text"))
+    return [(r["doc_id"], r["text"], r["toxic"]) for r in read.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").limit(4 * TRAIN_DOCS).collect()]
 
 
 def score(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

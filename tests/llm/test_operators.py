@@ -227,7 +227,8 @@ def test_language(spark, docs, none):
 
 
 def test_toxicity(spark, docs, none):
-    assert b"".join(w[:72] for w in toxicity.windows(bytes(range(250)) * 4)[:-1]) == (bytes(range(250)) * 4)[: 72 * (len(toxicity.windows(bytes(range(250)) * 4)) - 1)]
+    step = toxicity.SETTINGS.window - toxicity.SETTINGS.overlap
+    assert b"".join(w[:step] for w in toxicity.windows(bytes(range(250)) * 4)[:-1]) == (bytes(range(250)) * 4)[: step * (len(toxicity.windows(bytes(range(250)) * 4)) - 1)]
     model = toxicity.fit([(i, prose(i, 80) + (" idiot scum moron " if i % 2 else " ") + prose(i + 1000, 80), i % 2) for i in range(200)])
     df = table(spark, [(i, prose(i + 5000, 100) + (" you scum and moron " if i % 2 else "") + prose(i + 9000, 40)) for i in range(40)])
     rows = toxicity.score(df.unionByName(docs), model).collect()

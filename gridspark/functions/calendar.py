@@ -28,13 +28,31 @@ def cyclic(time: Column, period: float = 365.25) -> tuple[Column, Column]:
     return F.cos(angle), F.sin(angle)
 
 
+def micros(time: Column) -> Column:
+    """Microseconds of a time without zone since 1970-01-01 00:00; put together from its parts, so no zone has a say."""
+    t = time.cast("timestamp_ntz")
+    days = F.datediff(t, F.lit("1970-01-01").cast("date")).cast("long")
+    minutes = (days * 24 + F.hour(t)) * 60 + F.minute(t)
+    return minutes * F.lit(60_000_000) + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
 def to_mjd(time: Column) -> Column:
-    seconds = F.unix_micros(F.to_timestamp_ltz(time.cast("string"))) / F.lit(1e6)
-    return seconds / F.lit(86400.0) + F.lit(MJD_OF_EPOCH)
+    return micros(time) / F.lit(86400e6) + F.lit(MJD_OF_EPOCH)
 
 
 def from_mjd(mjd: Column) -> Column:
-    return F.timestamp_micros(F.round((mjd - F.lit(MJD_OF_EPOCH)) * F.lit(86400e6)).cast("long")).cast("timestamp_ntz")
+    seconds = (F.round((mjd - F.lit(MJD_OF_EPOCH)) * F.lit(86400e6)) / F.lit(1e6)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def parse(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A time without zone from text; null where it has another form."""
+    return F.when(F.try_to_timestamp(text, F.lit(pattern)).isNotNull(), F.to_timestamp_ntz(text, F.lit(pattern)))
+
+
+def format_date(time: Column, pattern: str = "yyyy-MM-dd") -> Column:
+    """Text of a time. Spark formats in the session's zone, which should be UTC: a zone with summer time lacks an hour."""
+    return F.date_format(time.cast("timestamp_ntz"), pattern)
 
 
 def wrap_longitude(lon: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,19 @@ def require_valid(df: DataFrame, value: str) -> DataFrame:
     return df
 
 
+def apply_function(df: DataFrame, value: str, f: Callable[[pd.Series], pd.Series], out: str | None = None) -> DataFrame:
+    """A user's function of numbers over a column, in Arrow batches (f: float series to float series of that length).
+
+    For what Column expressions cannot say; those stay in the JVM and are faster.
+    """
+
+    @F.pandas_udf("double")
+    def run(column: pd.Series) -> pd.Series:
+        return f(column)
+
+    return df.withColumn(out or value, run(F.col(value).cast("double")))
+
+
 def empty_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 

@@ -30,8 +30,32 @@ def nearest(df: DataFrame, column: str, point: Column, distance: Column | None =
 
 
 def nearest_cell(df: DataFrame, lat: float, lon: float) -> DataFrame:
-    """Nearest on each axis by itself."""
-    return nearest(nearest(df, "lat", F.lit(lat)), "lon", F.lit(lon))
+    """Rows at the nearest latitude and the nearest longitude, each by itself (the lower in a tie).
+
+    Both come from one aggregate over all rows; a grid with gaps may have no such cell, and then there are no rows.
+    """
+    least = [F.min(F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c) - F.lit(p)).alias("gap"), F.col(c).alias("at"))))["at"].alias(f"__{c}") for c, p in (("lat", lat), ("lon", lon))]
+    best = df.agg(*least)
+    return df.join(F.broadcast(best), (F.col("lat") == F.col("__lat")) & (F.col("lon") == F.col("__lon")), "left_semi")  # one row
+
+
+def exact_time(df: DataFrame, when: str, time: str = "time") -> DataFrame:
+    """Rows of one time stamp; a plain comparison, which reaches the scan."""
+    return df.where(F.col(time) == F.lit(when).cast("timestamp_ntz"))
+
+
+def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Renamed columns; a name that is not there is an error."""
+    require_names(df, *names)
+    return df.withColumnsRenamed(names)
+
+
+def require_names(df: DataFrame, *names: str) -> DataFrame:
+    """df, if it has these columns (the index names of a point table, say)."""
+    missing = set(names) - set(df.columns)
+    if missing:
+        raise ValueError(f"no such columns: {sorted(missing)}")
+    return df
 
 
 def nearest_time(df: DataFrame, when: str, time: str = "time") -> DataFrame:
@@ -55,10 +79,7 @@ def grid_of(df: DataFrame, values: str, columns: int, index: str) -> DataFrame:
 
 
 def drop_strict(df: DataFrame, *names: str) -> DataFrame:
-    missing = set(names) - set(df.columns)
-    if missing:
-        raise ValueError(f"no such columns: {sorted(missing)}")
-    return df.drop(*names)
+    return require_names(df, *names).drop(*names)
 
 
 def squeeze(df: DataFrame, column: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-METHODS = ("mean_std", "min_max")
+METHODS = ("mean_std", "min_max", "unit")
 
 
 def fit(df: DataFrame, variables: tuple[str, ...], method: str = "mean_std") -> DataFrame:
-    """var_id, method, p1, p2 in one pass: mean and population deviation, or minimum and maximum."""
+    """var_id, method, p1, p2 in one pass: mean and population deviation, or minimum and maximum (min_max, unit)."""
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
     pair = (lambda c: (F.avg(c), F.stddev_pop(c))) if method == "mean_std" else (lambda c: (F.min(c), F.max(c)))
@@ -23,7 +23,9 @@ def params(fitted: DataFrame) -> dict[str, tuple[str, float, float]]:
 
 
 def _affine(method: str, p1: float, p2: float) -> tuple[float, float]:
-    """Shift and width; a width of 0 counts as 1. min_max maps to -1..1."""
+    """Shift and width; a width of 0 counts as 1. min_max maps to -1..1, unit to 0..1 (coordinates in model space)."""
+    if method == "unit":
+        return p1, (p2 - p1) or 1.0
     return (p1, p2 or 1.0) if method == "mean_std" else ((p1 + p2) / 2, (p2 - p1) / 2 or 1.0)
 
 
@@ -37,6 +39,11 @@ def inverse(c: Column, method: str, p1: float, p2: float) -> Column:
     return c * F.lit(width) + F.lit(shift)
 
 
+def scale(c: Column, method: str, p1: float, p2: float) -> Column:
+    """A deviation back in the units of the data: the width alone."""
+    return c * F.lit(_affine(method, p1, p2)[1])
+
+
 def apply(df: DataFrame, fitted: dict[str, tuple[str, float, float]], back: bool = False) -> DataFrame:
     f = inverse if back else transform
     return df.withColumns({v: f(F.col(v), *p) for v, p in fitted.items()})

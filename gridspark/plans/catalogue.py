@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import calendar
 from gridspark.operators import clean, climatology, fields, mesh, normalize, sampling, tasks
 from gridspark.operators.sampling import Sampling
-from gridspark.plans import metrics, placement, predictors
+from gridspark.plans import flow, metrics, placement, predictors, runs
 from gridspark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,8 @@ def query(sql: str | None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tables.nan_to_null(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A test table; they hold no NaN, as tables do that write_years has written."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,27 +58,27 @@ STATIC = "st AS (SELECT n_nationkey AS cell_id, CAST(n_nationkey // 5 AS INTEGER
 
 @query(f"WITH {SERIES} SELECT dayofyear(time) AS doy, {MEAN.format('value')} AS clim FROM s GROUP BY 1")
 def climatology_doy(spark, sf_dir):
-    return climatology.climatology(series(spark, sf_dir), "value")
+    return climatology.climatology(series(spark, sf_dir), "value", scale=2)
 
 
 @query(f"""WITH {SERIES}, c AS (SELECT dayofyear(time) AS doy, {MEAN.format('value')} AS clim FROM s GROUP BY 1)
 SELECT o_orderkey, doy, value, clim, value - clim AS anom FROM s JOIN c ON dayofyear(s.time) = c.doy""")
 def anomaly_doy(spark, sf_dir):
-    return climatology.anomalies(series(spark, sf_dir), "value").select("o_orderkey", "doy", "value", "clim", "anom")
+    return climatology.anomalies(series(spark, sf_dir), "value", scale=2).select("o_orderkey", "doy", "value", "clim", "anom")
 
 
 @query(f"""WITH {SERIES}, c AS (SELECT dayofyear(time) AS doy, cell_id, {MEAN.format('value')} AS clim FROM s GROUP BY 1, 2)
 SELECT o_orderkey, s.cell_id, value - clim AS anom FROM s JOIN c ON dayofyear(s.time) = c.doy AND s.cell_id = c.cell_id
 WHERE time >= TIMESTAMP '1996-01-01' AND time < TIMESTAMP '1998-01-01'""")
 def anomaly_by_cell_window(spark, sf_dir):
-    return climatology.anomalies(series(spark, sf_dir), "value", ("cell_id",), start="1996-01-01", end="1997-12-31").select("o_orderkey", "cell_id", "anom")
+    return climatology.anomalies(series(spark, sf_dir), "value", ("cell_id",), start="1996-01-01", end="1997-12-31", scale=2).select("o_orderkey", "cell_id", "anom")
 
 
 @query(f"""WITH {SERIES}, c AS (SELECT dayofyear(time) AS doy, {MEAN.format('value')} AS clim FROM s WHERE dayofyear(time) < 366 GROUP BY 1)
 SELECT o_orderkey, value - clim AS anom FROM s LEFT JOIN c ON dayofyear(s.time) = c.doy""")
 def climatology_preloaded_left(spark, sf_dir):
     s = series(spark, sf_dir)
-    return climatology.anomalies(s, "value", clim=climatology.climatology(s, "value").where("doy < 366")).select("o_orderkey", "anom")
+    return climatology.anomalies(s, "value", clim=climatology.climatology(s, "value", scale=2).where("doy < 366")).select("o_orderkey", "anom")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN l_discount ELSE -0.009 END AS sst, CASE WHEN l_discount > 0.05 THEN l_tax ELSE -0.009 END AS other FROM lineitem""")
@@ -132,7 +133,7 @@ def nearest_time(spark, sf_dir):
     return fields.nearest_time(read(spark, sf_dir, "events"), "2024-01-15 12:00:00", "ts").select("event_id", "value")
 
 
-@query(f"""WITH {STATIC}, a AS (SELECT lat FROM st ORDER BY abs(lat - 48.061), lat LIMIT 1), o AS (SELECT lon FROM st WHERE lat = (SELECT lat FROM a) ORDER BY abs(lon + 87.793), lon LIMIT 1)
+@query(f"""WITH {STATIC}, a AS (SELECT lat FROM st ORDER BY abs(lat - 48.061), lat LIMIT 1), o AS (SELECT lon FROM st ORDER BY abs(lon + 87.793), lon LIMIT 1)
 SELECT cell_id FROM st WHERE lat = (SELECT lat FROM a) AND lon = (SELECT lon FROM o)""")
 def nearest_cell(spark, sf_dir):
     return fields.nearest_cell(static(spark, sf_dir), 48.061, -87.793).select("cell_id")
@@ -281,46 +282,45 @@ def _grid_targets(spark, sf_dir) -> DataFrame:
     return static(spark, sf_dir).select(F.col("cell_id").alias("target_id"), ((F.col("lat") - 40) / 5).alias("x1"), ((F.col("lon") + 90) / 5).alias("x2"))
 
 
-def _kernel_sql(targets: str, where: str) -> str:
-    return f"""WITH {DAILY}, {STATIC}, c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(cell_id || ':5:' || date), cell_id) <= 50),
-t AS ({targets}),
+def _kernel_sql(targets: str, context: str = "SELECT * FROM d") -> str:
+    return f"""WITH {DAILY}, {STATIC}, c AS ({context}), t AS ({targets}),
 p AS (SELECT date, target_id, y, power(c.x1 - t.x1, 2) + power(c.x2 - t.x2, 2) AS d2 FROM c, t)
-SELECT CAST(date AS VARCHAR) AS date, target_id, round(sum(exp(-d2 / 4.5) * y) / sum(exp(-d2 / 4.5)), 6) AS mean, round(sum(exp(-d2 / 4.5)), 6) AS density FROM p {where} GROUP BY 1, 2"""
+SELECT CAST(date AS VARCHAR) AS date, target_id, round(sum(exp(-d2 / 4.5) * y) / sum(exp(-d2 / 4.5)), 6) AS mean, round(sum(exp(-d2 / 4.5)), 6) AS density FROM p GROUP BY 1, 2"""
 
 
 def _kernel(found: DataFrame) -> DataFrame:
     return found.select(F.col("date").cast("string").alias("date"), "target_id", F.round("mean", 6).alias("mean"), F.round("density", 6).alias("density"))
 
 
-@query(_kernel_sql("SELECT cell_id AS target_id, (lat - 40) / 5 AS x1, (lon + 90) / 5 AS x2 FROM st", "WHERE d2 <= 9"))
-def setconv_predict(spark, sf_dir):
-    context = sampling.sample(_daily(spark, sf_dir), Sampling(n=50, seed=5))
-    return _kernel(predictors.setconv(context, _grid_targets(spark, sf_dir), 1.5, reach=3.0))
+GRID = "SELECT cell_id AS target_id, (lat - 40) / 5 AS x1, (lon + 90) / 5 AS x2 FROM st"
+POINTS = "SELECT 0 AS target_id, 4.2::DOUBLE AS x1, 3.3::DOUBLE AS x2 UNION ALL SELECT 1, 8.6::DOUBLE, 1.1::DOUBLE"
 
 
-@query(_kernel_sql("SELECT 0 AS target_id, 4.2::DOUBLE AS x1, 3.3::DOUBLE AS x2 UNION ALL SELECT 1, 8.6::DOUBLE, 1.1::DOUBLE", ""))
-def setconv_offgrid(spark, sf_dir):
-    context = sampling.sample(_daily(spark, sf_dir), Sampling(n=50, seed=5))
-    points = spark.createDataFrame([(0, 4.2, 3.3), (1, 8.6, 1.1)], "target_id int, x1 double, x2 double")
-    return _kernel(predictors.setconv(context, points, 1.5))
+def _points(spark) -> DataFrame:
+    return spark.createDataFrame([(0, 4.2, 3.3), (1, 8.6, 1.1)], "target_id int, x1 double, x2 double")
 
 
-@query(None)
-def setconv_predict_whole(spark, sf_dir):
+@query(_kernel_sql(GRID))
+def setconv_predict(spark, sf_dir):
     """All events of a date as context; weights beyond 8 lengths (under 2e-14) are left out."""
     return _kernel(predictors.setconv(_daily(spark, sf_dir), _grid_targets(spark, sf_dir), 1.5, reach=12.0, every=True))
 
 
-@query(None)
-def setconv_offgrid_whole(spark, sf_dir):
-    points = spark.createDataFrame([(0, 4.2, 3.3), (1, 8.6, 1.1)], "target_id int, x1 double, x2 double")
-    return _kernel(predictors.setconv(_daily(spark, sf_dir), points, 1.5))
+@query(_kernel_sql(POINTS))
+def setconv_offgrid(spark, sf_dir):
+    return _kernel(predictors.setconv(_daily(spark, sf_dir), _points(spark), 1.5))
+
+
+@query(_kernel_sql(POINTS, "SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(cell_id || ':5:' || date), cell_id) <= 50"))
+def setconv_sampled(spark, sf_dir):
+    """A sampled context, as tasks have: 50 events of each date."""
+    return _kernel(predictors.setconv(sampling.sample(_daily(spark, sf_dir), Sampling(n=50, seed=5)), _points(spark), 1.5))
 
 
 @query("SELECT user_id % 10 AS cell_id, round(avg(d), 6) AS score FROM (SELECT user_id, CAST(ts AS DATE) AS date, sqrt(value) AS d FROM events) GROUP BY 1")
 def acquisition_mean(spark, sf_dir):
     std = read(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("cell_id"), F.sqrt("value").alias("std"))
-    return std.groupBy("cell_id").agg(F.round(F.avg("std"), 6).alias("score"))
+    return placement.acquisition(std).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS year FROM orders WHERE year(o_orderdate) IN (1996, 1997)")
@@ -353,3 +353,194 @@ def greedy_placement(spark, sf_dir):
     context = sampling.sample(_daily(spark, sf_dir), Sampling(n=30, seed=0, fixed=True))
     cells = _grid_targets(spark, sf_dir).withColumnRenamed("target_id", "cell_id")
     return placement.greedy(context, fields.within(cells, fields.mask_cells(static(spark, sf_dir))), cells, 3, 1.5)[0]
+
+
+TWO = "c AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY x1, x2, y) AS k FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(cell_id || ':9:' || date), cell_id) <= 2))"
+
+
+@query(f"""WITH {DAILY}, {STATIC}, {TWO}, t AS ({GRID}), e AS (SELECT 1.01 + 1e-10 AS a),
+p AS (SELECT u.date, u.x1 AS u1, u.x2 AS u2, u.y AS uy, v.x1 AS v1, v.x2 AS v2, v.y AS vy FROM c u JOIN c v ON u.date = v.date WHERE u.k = 1 AND v.k = 2),
+q AS (SELECT date, target_id, uy, vy, exp(-(power(u1 - v1, 2) + power(u2 - v2, 2)) / 4.5) AS r, exp(-(power(u1 - x1, 2) + power(u2 - x2, 2)) / 4.5) AS f, exp(-(power(v1 - x1, 2) + power(v2 - x2, 2)) / 4.5) AS g FROM p, t)
+SELECT CAST(date AS VARCHAR) AS date, target_id, round((f * (a * uy - r * vy) + g * (a * vy - r * uy)) / (a * a - r * r), 5) AS mean,
+round(sqrt(greatest(1 - (a * f * f - 2 * r * f * g + a * g * g) / (a * a - r * r), 0)), 5) AS std FROM q, e""")
+def gp_two_points(spark, sf_dir):
+    """The Gaussian process in closed form: two context points a date."""
+    found = predictors.gp_predict(sampling.sample(_daily(spark, sf_dir), Sampling(n=2, seed=9)), _grid_targets(spark, sf_dir), 1.5)
+    return found.select(F.col("date").cast("string").alias("date"), "target_id", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+ONE = f"""{DAILY}, {STATIC}, c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(cell_id || ':0'), cell_id) <= 1),
+t AS ({GRID}), a AS (SELECT target_id AS cell_id, x1, x2 FROM t JOIN st ON target_id = st.cell_id WHERE mask),
+k AS (SELECT date, target_id, a.cell_id, exp(-(power(c.x1 - t.x1, 2) + power(c.x2 - t.x2, 2)) / 4.5) AS tx, exp(-(power(c.x1 - a.x1, 2) + power(c.x2 - a.x2, 2)) / 4.5) AS ax, exp(-(power(t.x1 - a.x1, 2) + power(t.x2 - a.x2, 2)) / 4.5) AS ta FROM c, t, a),
+s AS (SELECT cell_id, avg(sqrt(greatest(1 - tx * tx / 1.01 - power(ta - tx * ax / 1.01, 2) / (1.01 - ax * ax / 1.01), 0))) AS score FROM k GROUP BY 1)"""
+
+
+def _placed(spark, sf_dir, n: int) -> tuple[DataFrame, DataFrame]:
+    context = sampling.sample(_daily(spark, sf_dir), Sampling(n=1, seed=0, fixed=True))
+    cells = _grid_targets(spark, sf_dir).withColumnRenamed("target_id", "cell_id")
+    return placement.greedy(context, fields.within(cells, fields.mask_cells(static(spark, sf_dir))), cells, n, 1.5)
+
+
+@query(f"WITH {ONE} SELECT 1 AS iteration, CAST(cell_id AS BIGINT) AS cell_id, round(score, 8) AS score FROM s")
+def candidate_scores(spark, sf_dir):
+    """Every candidate met with every task: the deviation left, in closed form for one context point."""
+    return _placed(spark, sf_dir, 1)[1].withColumn("score", F.round("score", 8))
+
+
+@query(f"WITH {ONE} SELECT 1 AS iteration, CAST(s.cell_id AS BIGINT) AS cell_id, x1, x2, round(score, 8) AS score FROM s JOIN a ON s.cell_id = a.cell_id ORDER BY round(score, 12), s.cell_id LIMIT 1")
+def first_placement(spark, sf_dir):
+    return _placed(spark, sf_dir, 1)[0].withColumn("score", F.round("score", 8))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate = TIMESTAMP '1996-03-01'")
+def exact_time(spark, sf_dir):
+    return fields.exact_time(read(spark, sf_dir, "orders"), "1996-03-01 00:00:00", "o_orderdate").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT s_suppkey AS station, s_acctbal AS depth FROM supplier")
+def rename_columns(spark, sf_dir):
+    return fields.rename(read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), {"s_suppkey": "station", "s_acctbal": "depth"})
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def drop_columns(spark, sf_dir):
+    """Strictly one that is there, leniently one that is not."""
+    return fields.drop_strict(read(spark, sf_dir, "nation"), "n_regionkey").drop("crs")
+
+
+@query("SELECT event_id, value FROM events")
+def squeeze_dimension(spark, sf_dir):
+    """A dimension of one value goes."""
+    return fields.squeeze(read(spark, sf_dir, "events").select("event_id", "value", F.lit(1).alias("siglay")), "siglay")
+
+
+@query("SELECT event_id, nullif(trim(CASE WHEN event_type = 'click' THEN '  ' ELSE event_type END), '') AS kind FROM events")
+def empty_to_null(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "  ").otherwise(F.col("event_type"))
+    return read(spark, sf_dir, "events").select("event_id", clean.empty_to_null(kind).alias("kind"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS text, date_trunc('minute', ts) = strptime(strftime(ts, '%Y-%m-%d %H:%M'), '%Y-%m-%d %H:%M') AS same FROM events")
+def parse_and_format(spark, sf_dir):
+    text = calendar.format_date(F.col("ts"), "yyyy-MM-dd HH:mm")
+    return read(spark, sf_dir, "events").select("event_id", text.alias("text"), (F.date_trunc("minute", "ts").cast("timestamp_ntz") == calendar.parse(text, "yyyy-MM-dd HH:mm")).alias("same"))
+
+
+@query("SELECT event_id, CASE WHEN value > 20 THEN 20.0::DOUBLE ELSE value END AS value FROM events")
+def user_function(spark, sf_dir):
+    return clean.apply_function(read(spark, sf_dir, "events").select("event_id", "value"), "value", lambda v: v.clip(upper=20.0))
+
+
+@query(f"WITH {DAILY} SELECT DISTINCT CAST(date AS VARCHAR) AS date, 20 AS n FROM d")
+def equal_bounds(spark, sf_dir):
+    """A range whose ends are equal is that number."""
+    return _daily(spark, sf_dir).select("date").distinct().select(F.col("date").cast("string").alias("date"), sampling.draws(F.col("date"), 20, 20, 3).alias("n"))
+
+
+@query(f"WITH {STATIC}, {DAILY}, t AS (SELECT DISTINCT date FROM d) SELECT cell_id, CAST(date AS VARCHAR) AS date, cos(2 * pi() * dayofyear(date) / 365.25) AS cos_d FROM st, t")
+def time_on_cells(spark, sf_dir):
+    """A series without place under each cell of a layer without time."""
+    times = _daily(spark, sf_dir).select("date").distinct().withColumn("cos_d", calendar.cyclic(F.col("date"))[0])
+    return tasks.attach_times(static(spark, sf_dir).select("cell_id"), times).withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"WITH {STATIC}, m AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM st) SELECT cell_id, (lat - a) / (b - a) AS x1, (lon - c) / (d - c) AS x2 FROM st, m")
+def coordinates_in_model_space(spark, sf_dir):
+    cells = static(spark, sf_dir)
+    fitted = normalize.params(normalize.fit(cells, ("lat", "lon"), "unit"))
+    return normalize.apply(cells, fitted).select("cell_id", F.col("lat").alias("x1"), F.col("lon").alias("x2"))
+
+
+@query("""WITH p AS (SELECT CAST(ts AS DATE) AS date, user_id % 10 AS cell, avg(value) AS y FROM events GROUP BY 1, 2), m AS (SELECT user_id % 10 AS cell, avg(value) AS mean FROM events GROUP BY 1)
+SELECT round(sqrt(avg(power(mean - y, 2))), 8) AS rmse, COUNT(*) AS n, CAST(0 AS BIGINT) AS n_null FROM p JOIN m ON p.cell = m.cell""")
+def rmse_joined(spark, sf_dir):
+    """Predictions (each cell's mean) against the truth of every task, joined on task and cell."""
+    events = read(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), (F.col("user_id") % 10).alias("cell"), "value")
+    truth = events.groupBy("date", "cell").agg(F.avg("value").alias("y"))
+    pred = truth.select("date", "cell").join(events.groupBy("cell").agg(F.avg("value").alias("mean")), "cell")
+    return metrics.rmse(pred, truth, ["date", "cell"]).withColumn("rmse", F.round("rmse", 8))
+
+
+@query("""WITH x AS (SELECT o_orderdate AS date, o_orderkey, o_totalprice AS y FROM orders), t AS (SELECT DISTINCT date FROM x),
+s AS (SELECT date FROM t ORDER BY md5(CAST(strftime(date, '%Y-%m-%d') AS VARCHAR) || ':4'), date LIMIT 50), m AS (SELECT avg(o_totalprice) AS mean FROM orders)
+SELECT round(sqrt(avg(power(mean - y, 2))), 5) AS rmse, COUNT(*) AS n, CAST(0 AS BIGINT) AS n_null FROM x SEMI JOIN s USING (date), m""")
+def rmse_of_50_tasks(spark, sf_dir):
+    truth = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), "o_orderkey", F.col("o_totalprice").alias("y"))
+    pred = truth.select("date", "o_orderkey").crossJoin(F.broadcast(truth.agg(F.avg("y").alias("mean"))))  # one row
+    return metrics.rmse_of_tasks(pred, truth, ["date", "o_orderkey"], 50, 4).withColumn("rmse", F.round("rmse", 5))
+
+
+@query(f"""WITH {SERIES}, f AS (SELECT time, cell_id, CASE WHEN value > 100000 THEN value ELSE -0.009 END AS value FROM s),
+c AS (SELECT dayofyear(time) AS doy, CAST(SUM(CAST(value AS DECIMAL(18,3))) AS DOUBLE) / COUNT(value) AS clim FROM f GROUP BY 1) SELECT doy, clim FROM c""")
+def climatology_filled(spark, sf_dir):
+    """Days without a value count with the fill value, which has three decimals."""
+    s = series(spark, sf_dir).select("time", "cell_id", F.when(F.col("value") > 100000, F.col("value")).alias("value"))
+    return climatology.climatology(clean.fill(s, "value"), "value", scale=3)
+
+
+@query(f"""WITH {DAILY}, {STATIC}, t AS (SELECT DISTINCT date FROM d WHERE date_diff('day', DATE '2024-01-01', date) % 5 = 0), m AS (SELECT * FROM d SEMI JOIN t USING (date) WHERE cell_id % 3 = 0),
+c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(cell_id || ':1:' || date), cell_id) <= 10)
+SELECT CAST(date AS VARCHAR) AS date, 'context' AS role, 0 AS set_idx, cell_id, x1, x2, y FROM c
+UNION ALL SELECT NULL, 'context', 1, CAST(cell_id AS BIGINT), lat, lon, CAST(mask AS INTEGER)::DOUBLE FROM st""")
+def task_points_masked(spark, sf_dir):
+    """Context from the cells of a mask alone, a layer kept once, and no target: tasks to predict with."""
+    daily = _daily(spark, sf_dir)
+    dates = daily.select("date").distinct().where(calendar.every(F.col("date"), "2024-01-01", 5))
+    layer = static(spark, sf_dir).select(F.col("cell_id").cast("long").alias("cell_id"), F.col("lat").alias("x1"), F.col("lon").alias("x2"), F.col("mask").cast("double").alias("y"))
+    mask = daily.where("cell_id % 3 = 0").select("cell_id")
+    built = tasks.build([(daily, Sampling(n=10, seed=1)), (layer, Sampling())], None, dates, mask, repeat_static=False)
+    return built.withColumn("date", F.col("date").cast("string"))
+
+
+@query("SELECT p_partkey, p_retailprice AS mn, CAST(NULL AS DOUBLE) AS sd FROM part")
+def export_names(spark, sf_dir):
+    pred = read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("mean"), F.lit(None).cast("double").alias("std"))
+    return runs.predictions_for_export(pred)
+
+
+# The flow: daily means of the orders of a nation are the series, anomalies from 1996 on, epochs of kernel predictors.
+LENGTHS = (0.1, 0.3, 0.2)
+FLOW = f"""{STATIC}, {SERIES}, g AS (SELECT CAST(time AS DATE) AS date, cell_id, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value) AS v FROM s GROUP BY 1, 2),
+cl AS (SELECT dayofyear(date) AS doy, cell_id, avg(v) AS clim FROM g GROUP BY 1, 2),
+an AS (SELECT date, g.cell_id, v - clim AS a FROM g JOIN cl ON dayofyear(date) = doy AND g.cell_id = cl.cell_id WHERE date >= DATE '1996-01-01' AND date <= DATE '1999-12-31'),
+mm AS (SELECT avg(a) AS mu, stddev_pop(a) AS sd FROM an), bx AS (SELECT min(lat) AS la, max(lat) AS lb, min(lon) AS lc, max(lon) AS ld FROM st),
+ce AS (SELECT cell_id, (lat - la) / (lb - la) AS x1, (lon - lc) / (ld - lc) AS x2 FROM st, bx),
+ser AS (SELECT date, an.cell_id, x1, x2, (a - mu) / sd AS y FROM an JOIN ce ON an.cell_id = ce.cell_id, mm)"""
+
+
+def _flow(spark, sf_dir) -> flow.Flow:
+    s = series(spark, sf_dir)
+    daily = s.groupBy(F.date_trunc("day", "time").cast("timestamp_ntz").alias("time"), "cell_id").agg(climatology.exact_mean(F.col("value"), 2).alias("value"))
+    return flow.Flow(spark, static(spark, sf_dir), "value", ("mask",)).load(daily, anomaly_start="1996-01-01", anomaly_end="1999-12-31")
+
+
+def _epoch_sql(k: int, length: float) -> str:
+    """Loss and error of one epoch; contexts hold 1 to 4 cells of a date."""
+    task = lambda days, seed: f"""(SELECT ser.* FROM ser WHERE {days} QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(cell_id || ':{seed}:' || date), cell_id) <= 1 + CAST('0x' || substr(md5(date || ':n:{seed}'), 1, 8) AS BIGINT) % 4)"""
+    stride = lambda start, end: f"date >= DATE '{start}' AND date <= DATE '{end}' AND date_diff('day', DATE '{start}', date) % 5 = 0"
+    train, val = stride("1996-01-01", "1997-12-31"), stride("1998-01-01", "1998-12-31")
+    kernel = lambda days, seed: f"""(SELECT c.date, ce.cell_id, sum(w * c.y) / sum(w) AS m FROM (SELECT c.date, c.y, ce.cell_id, exp(-(power(c.x1 - ce.x1, 2) + power(c.x2 - ce.x2, 2)) / (2 * {length} * {length})) AS w FROM {task(days, seed)} c, ce) c JOIN ce ON c.cell_id = ce.cell_id GROUP BY 1, 2)"""
+    return f"""SELECT {k} AS epoch,
+(SELECT round(avg(l), 6) FROM (SELECT p.date, avg(power(m - y, 2)) AS l FROM {kernel(train, k)} p JOIN ser ON p.date = ser.date AND p.cell_id = ser.cell_id GROUP BY 1)) AS loss,
+(SELECT round(sqrt(avg(power((m - y) * sd, 2))), 4) FROM {kernel(val, 0)} p JOIN ser ON p.date = ser.date AND p.cell_id = ser.cell_id, mm) AS val_rmse"""
+
+
+@query(f"""WITH {FLOW}, e AS ({" UNION ALL ".join(_epoch_sql(k, length) for k, length in enumerate(LENGTHS, 1))}),
+w AS (SELECT *, min(val_rmse) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT epoch, loss, val_rmse, val_rmse < coalesce(before, 'inf'::DOUBLE) AS is_best FROM w""")
+def train_metrics(spark, sf_dir):
+    """Load, anomalies, tasks, epochs with contexts drawn anew, and the error on fixed validation tasks."""
+    found = _flow(spark, sf_dir).train(None, flow.lengths(list(LENGTHS)), ("1996-01-01", "1997-12-31"), ("1998-01-01", "1998-12-31"), 5, (1, 5))
+    return found.select("epoch", F.round("loss", 6).alias("loss"), F.round("val_rmse", 4).alias("val_rmse"), "is_best")
+
+
+@query(f"""WITH {FLOW}, q AS (SELECT 0 AS target_id, 48.0::DOUBLE AS lat, -72.5::DOUBLE AS lon UNION ALL SELECT 1, 66.0, -55.0),
+tq AS (SELECT target_id, lat, lon, (lat - la) / (lb - la) AS x1, (lon - lc) / (ld - lc) AS x2 FROM q, bx)
+SELECT CAST(date AS VARCHAR) AS date, target_id, lat, lon, round(sum(w * y) / sum(w) * sd + mu, 4) AS mean
+FROM (SELECT date, y, target_id, lat, lon, exp(-(power(ser.x1 - tq.x1, 2) + power(ser.x2 - tq.x2, 2)) / (2 * 0.3 * 0.3)) AS w FROM ser, tq WHERE date >= DATE '1999-01-01' AND date <= DATE '1999-05-20'), mm GROUP BY date, target_id, lat, lon, sd, mu""")
+def predict_stations(spark, sf_dir):
+    """Predictions at stations off the grid, in units of the series, from all cells of each date."""
+    run = _flow(spark, sf_dir)
+    stations = spark.createDataFrame([(0, 48.0, -72.5), (1, 66.0, -55.0)], "target_id int, lat double, lon double")
+    found = run.predict(predictors.SetConv(0.3), run.dates("1999-01-01", "1999-05-20"), stations)
+    return found.select(F.col("date").cast("string").alias("date"), "target_id", "lat", "lon", F.round("mean", 4).alias("mean"))

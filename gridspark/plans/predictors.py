@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Any, Protocol
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Targets at most that may meet the whole context; also the bound of what is broadcast.
@@ -55,39 +58,100 @@ def gp_posterior(x: np.ndarray, y: np.ndarray, at: np.ndarray, length: float, no
     return mean, np.sqrt(np.maximum(scale - (half**2).sum(0), 0.0))
 
 
-def gp_predict(context: DataFrame, targets: DataFrame, length: float, noise: float = 1e-2, samples: int = 0, seed: int = 0, most: int = 500) -> DataFrame:
+def gp_predict(context: DataFrame, targets: DataFrame, length: float, noise: float = 1e-2, samples: int = 0, seed: int = 0, most: int = 500, subsample: int = 1) -> DataFrame:
     """date, target_id, mean, std (and sample_1.. drawn jointly): one small Cholesky for each date.
 
+    subsample: draw samples at every so manieth target only (in the order of target_id), and give the other targets
+    the mean that follows from the context and the drawn values. It is what drawing target by target, each value
+    joining the context of the next, comes to for a Gaussian process, at a fraction of the cost.
+
     For sampled context: `most` points a date at most, beyond which it raises (use setconv for whole grids). The
     context of each date is a group of that size; the targets (TARGETS at most, JOINT_TARGETS with samples, whose
     covariance is a square of that size) are sent to all tasks, as a list of stations is.
     """
-    bound = JOINT_TARGETS if samples else TARGETS
+    bound = min(JOINT_TARGETS * subsample, TARGETS) if samples else TARGETS
     if targets.limit(bound + 1).count() > bound:
         raise ValueError(f"gp_predict takes {bound} targets")
     points = targets.select("target_id", "x1", "x2").orderBy("target_id").toPandas()
     at, kind = points[["x1", "x2"]].to_numpy(float), targets.schema["target_id"].dataType.simpleString()
     extra = "".join(f", sample_{k + 1} double" for k in range(samples))
 
-    def solve(key, group: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         group = group.dropna(subset=["y"]).sort_values(["x1", "x2", "y"])
         if len(group) > most:
             raise ValueError(f"{len(group)} context points; gp_predict takes {most}")
         mean, std = gp_posterior(group[["x1", "x2"]].to_numpy(float), group["y"].to_numpy(float), at, length, noise)
         out = pd.DataFrame({"date": key[0], "target_id": points["target_id"], "mean": mean, "std": std})
         if samples:
-            _, cov = gp_posterior(group[["x1", "x2"]].to_numpy(float), group["y"].to_numpy(float), at, length, noise, joint=True)
+            x, y, some = group[["x1", "x2"]].to_numpy(float), group["y"].to_numpy(float), np.arange(0, len(at), subsample)
+            start, cov = gp_posterior(x, y, at[some], length, noise, joint=True)
             values, vectors = np.linalg.eigh(cov)
             root = vectors * np.sqrt(np.maximum(values, 0.0))
-            drawn = np.random.default_rng(seed).standard_normal((len(at), samples))
+            drawn = np.random.default_rng(seed).standard_normal((len(some), samples))
             for k in range(samples):
-                out[f"sample_{k + 1}"] = mean + root @ drawn[:, k]
+                values_there = start + root @ drawn[:, k]
+                field = values_there if subsample == 1 else gp_posterior(np.concatenate((x, at[some])), np.concatenate((y, values_there)), at, length, noise)[0]
+                if subsample > 1:
+                    field[some] = values_there
+                out[f"sample_{k + 1}"] = field
         return out
 
     date = context.schema["date"].dataType.simpleString()
     return context.select("date", "x1", "x2", "y").groupBy("date").applyInPandas(solve, f"date {date}, target_id {kind}, mean double, std double{extra}")
 
 
+class Predictor(Protocol):
+    """What the flow needs of a model: date, target_id, mean, std at the targets of each date of a context."""
+
+    def predict(self, context: DataFrame, targets: DataFrame) -> DataFrame: ...
+
+    def parameters(self) -> dict[str, float | None]: ...
+
+
+@dataclass(frozen=True)
+class SetConv:
+    """The kernel mean; it has no deviation (std is null). For contexts of any size."""
+
+    length: float
+    reach: float | None = None
+
+    def predict(self, context: DataFrame, targets: DataFrame) -> DataFrame:
+        return setconv(context, targets, self.length, self.reach).select("date", "target_id", "mean", F.lit(None).cast("double").alias("std"))
+
+    def parameters(self) -> dict[str, float | None]:
+        return {"length": self.length, "reach": self.reach}
+
+
+@dataclass(frozen=True)
+class GaussianProcess:
+    """Mean and deviation from a sampled context."""
+
+    length: float
+    noise: float = 1e-2
+    most: int = 500
+
+    def predict(self, context: DataFrame, targets: DataFrame) -> DataFrame:
+        return gp_predict(context, targets, self.length, self.noise, most=self.most)
+
+    def parameters(self) -> dict[str, float | None]:
+        return {"length": self.length, "noise": self.noise, "most": float(self.most)}
+
+
+def store(spark: SparkSession, predictor: Predictor) -> DataFrame:
+    """One row that predictor_of() turns back: kind, parameters."""
+    return spark.createDataFrame([(type(predictor).__name__, {k: float(v) for k, v in predictor.parameters().items() if v is not None})], "kind string, parameters map<string,double>")
+
+
+def predictor_of(stored: DataFrame) -> Predictor:
+    row = stored.first()
+    found = dict(row["parameters"])
+    if row["kind"] == "SetConv":
+        return SetConv(**found)
+    if row["kind"] == "GaussianProcess":
+        return GaussianProcess(**{**found, "most": int(found.get("most", 500))})
+    raise ValueError(f"unknown predictor {row['kind']}")
+
+
 def tune(context: DataFrame, truth: DataFrame, targets: DataFrame, lengths: list[float]) -> list[tuple[float, float]]:
     """(length, pooled error) of each kernel length on held-out truth (date, target_id, y)."""
     from gridspark.plans.metrics import rmse

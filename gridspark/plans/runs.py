@@ -10,6 +10,19 @@ def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def save_if_best(params: DataFrame, path: str, version: int, is_best: bool) -> bool:
+    """Store parameters under their own version where the run is the best so far; older versions stay."""
+    if is_best:
+        save(params, f"{path}/version={version}")
+    return is_best
+
+
+def load_best(spark: SparkSession, path: str) -> DataFrame:
+    """The parameters of the last version stored (each is better than those before)."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("version") == every.agg(F.max("version")).first()[0]).drop("version")
+
+
 def log_metrics(df: DataFrame, path: str, run_id: str) -> None:
     """Append metrics (epoch, loss, val_rmse, is_best) of a run."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)

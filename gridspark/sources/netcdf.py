@@ -1,23 +1,43 @@
-"""A Python data source for one-variable NetCDF grids; needs the netCDF4 library, which is imported when it reads."""
+"""A Python data source for NetCDF grids; needs the netCDF4 library, which is imported when it reads."""
 
 from __future__ import annotations
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+def _names(options: dict) -> list[str]:
+    """Variables to read: `variables` (commas between) or `variable`, without those in `dropVariables`."""
+    wanted = options.get("variables") or options.get("variable")
+    if not wanted:
+        raise ValueError("the option variables (or variable) is missing")
+    dropped = {x.strip() for x in options.get("dropvariables", "").split(",")}
+    return [x.strip() for x in wanted.split(",") if x.strip() not in dropped]
+
+
 class NetcdfSource(DataSource):
-    """options: path, variable, and optionally time, lat, lon (names of the dimensions), decodeTimes (false: raw)."""
+    """options: path, variables (one gives the column `value`, several columns of their own names), dropVariables,
+    time, lat, lon (names of the dimensions), decodeTimes (false: raw numbers).
+
+    A time step is a partition; its grid goes to Spark as one Arrow batch, so no cell is a Python object. NaN and fill
+    values become null. Cells are numbered by row and column.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "netcdf"
 
     def schema(self) -> str:
-        decoded = self.options.get("decodeTimes", "true") == "true"
-        return f"time {'timestamp_ntz' if decoded else 'double'}, cell_id long, i_lat int, i_lon int, lat double, lon double, value double"
+        options = {k.lower(): v for k, v in self.options.items()}
+        names = _names(options)
+        values = "value double" if len(names) == 1 else ", ".join(f"`{n}` double" for n in names)
+        return f"time {'timestamp_ntz' if _decoded(options) else 'double'}, cell_id long, i_lat int, i_lon int, lat double, lon double, {values}"
 
     def reader(self, schema) -> DataSourceReader:
-        return NetcdfReader(dict(self.options))
+        return NetcdfReader({k.lower(): v for k, v in self.options.items()})
+
+
+def _decoded(options: dict) -> bool:
+    return options.get("decodetimes", "true").lower() == "true"
 
 
 class NetcdfReader(DataSourceReader):
@@ -35,16 +55,23 @@ class NetcdfReader(DataSourceReader):
             return [InputPartition(k) for k in range(len(data[self.options.get("time", "time")]))]
 
     def read(self, partition):
-        import netCDF4
         import numpy as np
+        import pyarrow as pa
 
+        names = _names(self.options)
         with self._open() as data:
             axis = data[self.options.get("time", "time")]
             raw = axis[partition.value]
-            when = raw if self.options.get("decodeTimes", "true") != "true" else netCDF4.num2date(raw, axis.units, only_use_cftime_datetimes=False)
+            if _decoded(self.options):
+                import netCDF4
+
+                when = pa.scalar(netCDF4.num2date(raw, axis.units, only_use_cftime_datetimes=False), pa.timestamp("us"))
+            else:
+                when = pa.scalar(float(raw), pa.float64())
             lat, lon = (np.asarray(data[self.options.get(n, n)][:], dtype=float) for n in ("lat", "lon"))
-            grid = np.ma.filled(data[self.options["variable"]][partition.value].astype(float), np.nan)
-        for i in range(len(lat)):
-            for j in range(len(lon)):
-                v = float(grid[i, j])
-                yield when, i * len(lon) + j, i, j, float(lat[i]), float(lon[j]), None if np.isnan(v) else v
+            grids = [np.ma.filled(np.ma.asarray(data[n][partition.value]).astype(float), np.nan).ravel() for n in names]
+        cells = np.arange(len(lat) * len(lon))
+        at = np.divmod(cells, max(len(lon), 1))
+        columns = [pa.repeat(when, len(cells)), pa.array(cells), pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(lat[at[0]]), pa.array(lon[at[1]])]
+        columns += [pa.array(g, mask=np.isnan(g)) for g in grids]
+        yield pa.RecordBatch.from_arrays(columns, names=["time", "cell_id", "i_lat", "i_lon", "lat", "lon", *(["value"] if len(names) == 1 else names)])

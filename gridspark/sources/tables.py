@@ -18,15 +18,28 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats}) if floats else df
 
 
-def read_years(spark: SparkSession, template: str, start: int, end: int, end_inclusive: bool = False, drop: tuple[str, ...] = (), time: str = "time") -> DataFrame:
+def read_years(spark: SparkSession, template: str, start: int, end: int, end_inclusive: bool = False, drop: tuple[str, ...] = (), time: str = "time", clean: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """One Parquet file or folder for each year (template has {date}), put together; drop ignores missing columns.
 
-    Rows have no order; keep the time column. A year column is added for partition pruning.
+    Rows have no order; keep the time column. A year column is added for partition pruning. clean: the files hold no
+    NaN (write_years writes such), so conditions on values reach the scan. keys: coordinates that must not repeat (a
+    pass over those columns), as when files are combined by coordinates.
     """
     paths = [template.format(date=y) for y in years(start, end, end_inclusive)]
     if not paths:
         raise ValueError("no years")
-    df = nan_to_null(spark.read.parquet(*paths).drop(*drop))
+    return _prepared(spark.read.parquet(*paths), drop, time, clean, keys)
+
+
+def read_glob(spark: SparkSession, pattern: str, drop: tuple[str, ...] = (), time: str = "time", clean: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All Parquet files or folders of a path with *, ? or [..], as read_years reads them."""
+    return _prepared(spark.read.parquet(pattern), drop, time, clean, keys)
+
+
+def _prepared(raw: DataFrame, drop: tuple[str, ...], time: str, clean: bool, keys: tuple[str, ...]) -> DataFrame:
+    df = raw.drop(*drop) if clean else nan_to_null(raw.drop(*drop))
+    if keys and not repeated_keys(df, *keys).isEmpty():
+        raise ValueError(f"coordinates {keys} repeat")
     return df if "year" in df.columns or time not in df.columns else df.withColumn("year", F.year(time))
 
 
@@ -41,8 +54,17 @@ def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def write_years(df: DataFrame, path: str) -> None:
-    """Tidy Parquet partitioned by year."""
-    df.write.mode("overwrite").partitionBy("year").parquet(path)
+    """Tidy Parquet partitioned by year, NaN turned to null."""
+    nan_to_null(df).write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def write_by_cell(df: DataFrame, table: str, buckets: int, cell: str = "cell_id") -> None:
+    """A table in buckets of the cell: climatologies and anomalies by cell then shuffle nothing.
+
+    Read it with spark.table() and spark.sql.requireAllClusterKeysForCoPartition false, as a join on (doy, cell) takes
+    a partitioning by cell only then.
+    """
+    nan_to_null(df).write.mode("overwrite").bucketBy(buckets, cell).sortBy(cell).saveAsTable(table)
 
 
 def read_stations(spark: SparkSession, path: str, lat: str = "lat", lon: str = "lon") -> DataFrame:

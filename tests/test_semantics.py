@@ -136,7 +136,7 @@ def test_setconv_over_whole_dates(spark):
 
     sf = "/root/testdata/sf0.001"
     daily = catalogue._daily(spark, sf).toPandas()
-    for name, points in (("setconv_predict_whole", catalogue._grid_targets(spark, sf).toPandas()[["target_id", "x1", "x2"]].values), ("setconv_offgrid_whole", [(0, 4.2, 3.3), (1, 8.6, 1.1)])):
+    for name, points in (("setconv_predict", catalogue._grid_targets(spark, sf).toPandas()[["target_id", "x1", "x2"]].values), ("setconv_offgrid", [(0, 4.2, 3.3), (1, 8.6, 1.1)])):
         got = {(r["date"], int(r["target_id"])): (r["mean"], r["density"]) for r in catalogue.QUERIES[name](spark, sf).collect()}
         assert len(got) == daily["date"].nunique() * len(points)
         for date, d in daily.groupby("date"):

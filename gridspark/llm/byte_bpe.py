@@ -167,8 +167,11 @@ class ByteBPE:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers; b"" for an empty text."""
-        if OTHER_SPACE.search(text):
+        """Ids of a whole text as little-endian unsigned 32-bit integers; b"" for an empty text.
+
+        Only WORD_PATTERN is known to end its matches where chunks end; other patterns go over whole texts.
+        """
+        if self.pattern != WORD_PATTERN or OTHER_SPACE.search(text):
             return self._encode_span(text)
         cache = self._chunks
         chunks = CHUNK.findall(text)
@@ -211,9 +214,12 @@ class ByteBPE:
         or comma is two matches. Each different part is taken apart once, each different word is looked up once.
         """
         texts = texts.fill_null("")
+        if self.pattern != WORD_PATTERN:
+            ids = [self.encode(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
         split = pc.split_pattern(texts, " ")
         parts = split.flatten().dictionary_encode()
-        plain = pc.match_substring_regex(parts.dictionary, PLAIN) if self.pattern == WORD_PATTERN else pc.equal(parts.dictionary, "")
+        plain = pc.match_substring_regex(parts.dictionary, PLAIN)
         is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
         kept = parts.dictionary.filter(plain)
         mark = pc.ends_with(kept, ".").to_numpy(zero_copy_only=False).astype(np.int64) + 2 * pc.ends_with(kept, ",").to_numpy(zero_copy_only=False).astype(np.int64)

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import by_size, fold, map_batches, per_process
 
-DIMENSIONS, SEED = 512, 7
+DIMENSIONS, SEED = 1024, 7
 UNKNOWN = "und"
 #: Training texts of each language at most; the bound of the fit, not of what is predicted.
 TRAIN_DOCS = 1500
-#: Trigram vectors kept by a worker (2 KB each).
+#: Trigram vectors kept by a worker (1 KB each).
 KEPT = 40_000
 
 
@@ -33,7 +33,7 @@ class Profiles:
         self._learn(range(256))
         self.letters: dict[int, np.ndarray] = {}
         self.row_of: dict[int, int] = {}
-        self.rows = np.zeros((0, DIMENSIONS), dtype=np.float32)
+        self.rows = np.zeros((0, DIMENSIONS), dtype=np.int8)
 
     def _learn(self, codes) -> None:
         """Symbols of code points: letters and marks (which stand in words) are themselves, 0 is what separates words."""
@@ -77,15 +77,15 @@ class Profiles:
             if len(self.row_of) + len(new) > KEPT:
                 self.row_of, self.rows = {}, self.rows[:0]
                 new = grams.tolist()
-            vectors = np.array([self._bound(g) for g in new], dtype=np.float32)
+            vectors = np.array([self._bound(g) for g in new], dtype=np.int8)
             at = len(self.row_of)
             if at + len(new) > len(self.rows):
-                self.rows = np.concatenate((self.rows[:at], vectors, np.zeros((at + len(new), DIMENSIONS), dtype=np.float32)))
+                self.rows = np.concatenate((self.rows[:at], vectors, np.zeros((at + len(new), DIMENSIONS), dtype=np.int8)))
             else:
                 self.rows[at : at + len(new)] = vectors
             self.row_of.update((g, at + i) for i, g in enumerate(new))
             rows = list(map(self.row_of.get, grams.tolist()))
-        return counts.astype(np.float32) @ self.rows[rows]
+        return counts.astype(np.float32) @ self.rows[rows].astype(np.float32)
 
 
 def shared_profiles() -> Profiles:

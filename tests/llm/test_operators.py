@@ -276,3 +276,24 @@ def test_likeness_of_a_window_repeated_often():
     assert fingerprint.from_text(fingerprint.to_text(a))[1].tolist() == a[1].tolist()
     assert 0.9 < fingerprint.likeness(a, b) < 1.0
     assert fingerprint.likeness(a, fingerprint.vector(fingerprint.edited("a" * 40_000, "a" * 5_000).encode())) > 0.9
+
+
+def test_byte_bpe_under_another_pattern():
+    """A pattern whose matches go over spaces is not cut before them."""
+    pattern = r"\w+ \w+|\s+|[^\s]+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = byte_bpe.ByteBPE(byte_bpe.read_bytes(MULTI), pattern), random.Random(6)
+    texts = ["".join(rng.choice("ab cdé  \n,.x ") for _ in range(rng.randrange(30))) for _ in range(1500)] + [""]
+    flat, ends = codec.encode_column(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == [other.encode_ordinary(t) for t in texts]
+
+
+def test_exact_search_of_awkward_vectors(spark):
+    """Null vectors have no code; short ones and null components count as not over 0; other columns are not read."""
+    rows = [(0, [1.0, None, -1.0], "x"), (1, None, "x"), (2, [], "x"), (3, [1.0], "y"), (4, [0.5, 0.0, -2.0] + [0.0] * 61, "y"), (None, [1.0], "z"), (5, [-1.0] * 64 + [1.0] * 10, "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, code string")
+    codes = exact_search.sign_codes(df, "vec_id", "embedding")
+    assert {r["id"]: r["code"] for r in codes.collect()} == {0: 1, 2: 0, 3: 1, 4: 1, None: 1, 5: 0}
+    found = exact_search.search(codes, codes.where("id in (0, 2)"), 2).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in found] == [(0, 1, 3, 0), (0, 2, 4, 0), (2, 1, 5, 0), (2, 2, 0, 1)]

@@ -94,3 +94,15 @@ def test_near_copies_of_large_groups_and_chains(spark):
         groups.setdefault(r["component"], set()).add(r["doc_id"])
     assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in sets if name[i] == low) for low in set(name.values()))
     assert len({name[9000 + k] for k in range(30)}) == 1
+
+
+def test_texts_of_unknown_scripts_go(spark):
+    """Known languages stay, however short; of texts in scripts that no training text has, few reach the threshold."""
+    import random
+
+    rng = random.Random(4)
+    known = [(i, prose(i, 60), "en") for i in range(60)] + [(100 + i, " ".join(f"über{i}ung straße nicht schön".split()[: 1 + i % 4]) + " weißt größe " * 9, "de") for i in range(60)]
+    scripts = [("\u0430", 30), ("\u03b1", 24), ("\u05d0", 26), ("\u0e01", 40), ("\u4e00", 60), ("\uac00", 60)]
+    other = [(1000 + k, " ".join("".join(chr(ord(a) + rng.randrange(n)) for _ in range(rng.randrange(2, 8))) for _ in range(150)), None) for k, (a, n) in enumerate(scripts * 10)]
+    left = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, table(spark, known + other).select(*corpus_pipeline.COLUMNS), "").collect()}
+    assert {i for i, *_ in known} <= left and len({i for i, *_ in other} & left) <= 6

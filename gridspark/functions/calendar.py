@@ -12,7 +12,7 @@ MJD_OF_EPOCH = 40587
 
 
 def dates(spark: SparkSession, start: str, end: str, step_days: int = 1) -> DataFrame:
-    """Every step_days-th date from start to end, both included, as timestamps without zone."""
+    """Every step_days-th date from start to end, both included."""
     sequence = f"sequence(to_date('{start}'), to_date('{end}'), interval {int(step_days)} days)"
     return spark.range(1).select(F.explode(F.expr(sequence)).alias("date"))
 

@@ -58,9 +58,8 @@ class Flow:
         return self
 
     def dates(self, start: str, end: str, every: int = 1) -> DataFrame:
-        """Every so manieth date from start to end that the series has."""
-        wanted = calendar.dates(self.spark, start, end, every)
-        return self.series.select("date").distinct().join(F.broadcast(wanted), "date", "left_semi")
+        """Every so manieth date from start to end; those that the series lacks give no task."""
+        return calendar.dates(self.spark, start, end, every)
 
     def layer_frames(self) -> list[DataFrame]:
         at = self.static.join(self.cells, "cell_id")

@@ -80,9 +80,33 @@ SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, pos, raw, trim(raw, ' ') AS line, len(regexp_extract_all(raw, '[^ \t\n\x0B\f\r]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL)),
+sums AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS upto FROM lines),
+-- the shortest stretches of ten words from each line on, and up to each line
+stretches AS (
+  SELECT a.doc_id, min(b.pos) AS x, max(b.pos) AS y, string_agg(b.line, chr(10) ORDER BY b.pos) AS body
+  FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND (b.upto - b.w) - (a.upto - a.w) < 10
+  GROUP BY a.doc_id, a.pos, a.upto, a.w HAVING max(b.upto) - (a.upto - a.w) >= 10
+  UNION
+  SELECT a.doc_id, min(b.pos), max(b.pos), string_agg(b.line, chr(10) ORDER BY b.pos)
+  FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.pos <= a.pos AND a.upto - b.upto < 10
+  GROUP BY a.doc_id, a.pos, a.upto HAVING a.upto - min(b.upto - b.w) >= 10),
+later AS (SELECT s.doc_id, x, y FROM stretches s JOIN (SELECT body, min(doc_id) AS first FROM stretches GROUP BY body) f ON s.body = f.body WHERE s.doc_id > first),
+gone AS (SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN later d ON l.doc_id = d.doc_id AND l.pos BETWEEN d.x AND d.y),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS body
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_deleted, CAST(length(body) AS BIGINT) AS kept_chars, sha256(body) AS kept_sha256 FROM kept
+UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_search": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_search": OP10_SQL}

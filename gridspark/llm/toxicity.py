@@ -6,7 +6,7 @@ the shorter the second is than the first. (With the toxic dictionary by itself,
 each dictionary holds by chance, drown the few bytes that a toxic word saves; the README has the figures.) A document's
 windows are summed up by the largest difference, the windows
 over the threshold and their share, and turned to a probability by a logistic curve that was fitted on labelled
-documents which neither dictionary has seen.
+documents under dictionaries which had not seen them.
 
 What goes into the toxic dictionary's training are the places of toxic texts with byte sequences that recur in
 toxic text and that ordinary text hardly has; the dictionary trainer keeps what many of these samples have in common.
@@ -30,6 +30,8 @@ from gridspark.llm.common import by_size, fold, map_batches, per_process
 #: than TRAIN_CHARS characters it reads as many, in EXCERPTS stretches at even distances. This bounds the fit alone;
 #: what is scored is whole.
 TRAIN_DOCS, TRAIN_CHARS, EXCERPTS = 2000, 30_000, 10
+#: Parts of the training rows for the calibration.
+CALIBRATION_PARTS = 3
 _OFFSETS = struct.pack("<3I", 1, 4, 8)
 
 
@@ -134,21 +136,28 @@ def _log_loss(p: np.ndarray, y: np.ndarray) -> float:
     return float(-np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
 
 
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], settings: Settings = SETTINGS) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    marked = marked_grams(toxic, ordinary, settings)
+    plain = _dictionary([w for t in ordinary for w in windows(t, settings)], settings.ordinary_bytes)
+    return plain, _dictionary([p for t in toxic for p in _spans(t, marked, settings.gram)], settings.toxic_bytes)
+
+
 def fit(rows: list[tuple[int, str, int]], settings: Settings = SETTINGS) -> dict | None:
     """The model from (doc_id, text, toxic) rows; None if either class has fewer than four texts.
 
-    Even ranks (by id) build the dictionaries, odd ones calibrate the threshold and the curve.
+    The threshold and the curve are calibrated on differences that dictionaries of the other parts give each part of
+    the rows (CALIBRATION_PARTS, dealt in the order of ids); the dictionaries that score are then built from all rows.
     """
     rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is not None, r[0], r[1]))
     by = {c: [r[1].encode("utf-8") for r in rows if r[2] == c] for c in (0, 1)}
     if min(map(len, by.values())) < 4:
         return None
-    build, check = {c: v[::2] for c, v in by.items()}, {c: v[1::2] for c, v in by.items()}
-    ordinary = _dictionary([w for t in build[0] for w in windows(t, settings)], settings.ordinary_bytes)
-    marked = marked_grams(build[1], build[0], settings)
-    toxic = _dictionary([p for t in build[1] for p in _spans(t, marked, settings.gram)], settings.toxic_bytes)
-    distance = Distance(ordinary, toxic)
-    gaps = [(distance.of(windows(t, settings)), c) for c in (0, 1) for t in check[c]]
+    gaps: list[tuple[np.ndarray, int]] = []
+    for part in range(CALIBRATION_PARTS):
+        rest = {c: [t for i, t in enumerate(v) if i % CALIBRATION_PARTS != part] for c, v in by.items()}
+        distance = Distance(*dictionaries(rest[1], rest[0], settings))
+        gaps += [(distance.of(windows(t, settings)), c) for c in (0, 1) for t in by[c][part::CALIBRATION_PARTS]]
     y = np.array([c for _, c in gaps], dtype=float)
     best = None
     for threshold in (1, 2, 3, 4, 5, 6):
@@ -157,6 +166,7 @@ def fit(rows: list[tuple[int, str, int]], settings: Settings = SETTINGS) -> dict
         loss = _log_loss(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), y)
         if best is None or loss < best[0] - 1e-9:
             best = (loss, threshold, w)
+    ordinary, toxic = dictionaries(by[1], by[0], settings)
     return {"ordinary": ordinary, "toxic": toxic, "threshold": float(best[1]), "weights": best[2].tolist(), "settings": settings}
 
 

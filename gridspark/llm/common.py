@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Documents are long, so Spark's 10,000 would be hundreds of MB.
-BATCH_ROWS = 2048
+#: Rows and bytes of one Arrow batch at most. Documents are long, so Spark's 10,000 rows would be hundreds of MB.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+#: Bytes of a stash's row groups, which its writers hold in memory.
+GROUP_BYTES = 32 << 20
 
 _built: dict = {}
 _kept: dict = {}
@@ -29,10 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for a Python worker, whatever the length of the texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small enough for a Python worker, whatever the length of the texts.
+
+    Spark reads these settings when a plan runs, so they hold for the session's later queries as well; smaller ones
+    that the session has are left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{key}", str(most + 1))))
+        if held not in range(1, most + 1):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -56,7 +64,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
         _built[home] = True
         atexit.register(_remove, spark, home)
     path = f"{home}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     _stored.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _path_of[out] = path
@@ -110,7 +118,11 @@ def per_process(key: object, build: Callable[[], object]) -> object:
     One thing is kept at a time: a worker that serves several stages would otherwise hold the caches of all.
     """
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # else a worker holds what the last stage's caches took
+                libc.malloc_trim(0)
         _kept[key] = build()
     return _kept[key]
 

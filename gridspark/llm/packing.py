@@ -35,7 +35,7 @@ WINDOW = 16 * 4096
 BUCKETS = 256
 #: Base rows up to this number are broadcast (40 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-CACHE_RUNS, CACHE_WORDS = 100_000, 700_000
+CACHE_RUNS, CACHE_WORDS, AT_ONCE = 100_000, 400_000, 2_000
 PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
 
@@ -74,12 +74,13 @@ class CachedTokenizer:
 
     def _fresh(self, words: list[str]) -> list[bytes]:
         """Ids of each of some lower-case words of letters: each is one word to the tokenizer, up to a token that ends words."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        cuts = ((np.flatnonzero(self.final[ids]) + 1) * ids.itemsize).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        out = []
+        for k in range(0, len(words), AT_ONCE):  # the tokenizer takes some kilobytes of memory for each word of a text
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[k : k + AT_ONCE])], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = ((np.flatnonzero(self.final[ids]) + 1) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
 
     def _look_up(self, keys: list[str], cache: dict[str, bytes], most: int, fresh) -> list[bytes]:
         out = list(map(cache.get, keys))
@@ -260,7 +261,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = 40
         tokenizer = cores["tokenizer"](definition.value)
         end = np.array([end_id], dtype=tokenizer.dtype).tobytes()
         sent: dict[str, int] = {}
-        for b in by_size(batches, 1):
+        for b in by_size(batches, 1, 4 << 20):
             flat, ends = tokenizer.encode(b.column(1), end)
             sizes = np.diff(ends, prepend=0)
             places = []

@@ -172,7 +172,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     keyed = docs.select(*[docs[c] for c in names], F.xxhash64(docs[text]).alias("__own"))
-    joined = keyed.join(decisions, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
+    # merged at every size: decisions grow with the documents, so a plan that broadcasts them says nothing of larger ones
+    joined = keyed.join(decisions.hint("merge"), keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     before, after = F.concat(F.array(F.lit(-1)), F.col("__lines")), F.concat(F.col("__lines"), F.array(n_lines.cast("int")))
     runs = F.filter(F.zip_with(before, after, lambda x, y: F.struct((x + 2).alias("start"), (y - x - 1).alias("n"))), lambda r: r["n"] > 0)

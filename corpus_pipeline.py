@@ -51,7 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         first = groups.groupBy("component", order.alias("row")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by("n", "row").alias("n"), F.min("row").alias("row"))
         kept = keep(first.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"), "n"), "kept")
     rows = docs.select(*COLUMNS, near_copies.text_key("text").alias("__text"))
-    rest = rows.join(kept.select("__id", "__key"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
+    rest = rows.join(kept.select("__id", "__key").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
     if not kept.where("n > 1").isEmpty():
         rest = rest.dropDuplicates(["doc_id", "__text"])
     return rest.select(*COLUMNS)

@@ -1,4 +1,4 @@
-"""Connected components by rounds of large-star and small-star over stored edge tables."""
+"""Connected components by rounds of large-star and small-star over stored edge tables, finished by union-find."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import map_batches, stash
 
 ROUNDS = 40
+#: Edges that one task takes in at most (some hundred bytes each).
+LAST_EDGES = 1_000_000
 
 
 def _forest(batches):
@@ -52,11 +54,15 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link; component: the smallest `first` of the nodes reachable.
 
     links: (a, b) longs; nodes: (node, first). Edges are first contracted within partitions (a partition's nodes are
-    held in memory: at most two for each of its edges), then in rounds, each a stored table that outlives executors.
+    held in memory: at most two for each of its edges), then in rounds, each a stored table that outlives executors,
+    until they settle or at most LAST_EDGES are left, which one task joins up.
     """
     edges = stash(map_batches(links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")), _forest, "u long, v long"), "edges")
     before = None
     for _ in range(ROUNDS):
+        if edges.count() <= LAST_EDGES:
+            edges = stash(map_batches(edges.coalesce(1), _forest, "u long, v long"), "edges")
+            break
         edges = stash(_star(_star(edges, True), False), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

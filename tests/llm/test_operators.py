@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridspark.llm import byte_bpe, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity
+from gridspark.llm import byte_bpe, components, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity
 from gridspark.llm.queries import queries
 from tests.llm.helpers import SCHEMA, awkward, prose, table
 
@@ -297,3 +297,22 @@ def test_exact_search_of_awkward_vectors(spark):
     assert {r["id"]: r["code"] for r in codes.collect()} == {0: 1, 2: 0, 3: 1, 4: 1, None: 1, 5: 0}
     found = exact_search.search(codes, codes.where("id in (0, 2)"), 2).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in found] == [(0, 1, 3, 0), (0, 2, 4, 0), (2, 1, 5, 0), (2, 2, 0, 1)]
+
+
+@pytest.mark.parametrize("last", [0, 5, 1_000_000])
+def test_components(spark, monkeypatch, last):
+    """Chains, stars, cliques and random graphs against a search, by star rounds alone and with the last step."""
+    monkeypatch.setattr(components, "LAST_EDGES", last)
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(a, b) for a in range(200, 209) for b in range(200, a)]
+    links += [(rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(90)]
+    links = [(a, b) for a, b in links if a != b]
+    ids = sorted({x for e in links for x in e} | {999})
+    name = {x: x for x in ids}
+    for _ in ids:
+        for a, b in links:
+            name[a] = name[b] = min(name[a], name[b])
+    first = {x: 5000 - x for x in ids}
+    nodes = spark.createDataFrame(list(first.items()), "node long, first long")
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(5), nodes).collect()}
+    assert got == {x: min(first[y] for y in ids if name[y] == name[x]) for x in ids if x != 999}

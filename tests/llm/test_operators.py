@@ -183,7 +183,7 @@ def test_line_dedup(spark, none):
     texts += [(200 + i, "short\n" + prose(400, 30)) for i in range(60)] + awkward()
     df = table(spark, texts)
     found = {}
-    for r in line_dedup.line_dedup(df).collect():
+    for r in sorted(line_dedup.line_dedup(df).collect(), key=lambda r: (r["text"] is None, -r["n_lines"], -len(r["text"] or ""))):  # rows have no order
         found.setdefault(r["doc_id"], []).append(r)
     assert found[0][0]["text"] == texts[0][1]
     assert all(found[i][0]["text"] == own[i] + "\n" + prose(200 + i, 3) for i in range(1, 70))

@@ -8,7 +8,10 @@ band share a bucket. A pair of similarity s shares none with probability (1 - s*
 
 Candidates are verified exactly, pair by pair, but a large group is never paired with itself: first each node meets one
 smallest node of its buckets alone; then, in buckets that still hold several components, each node meets one node of
-each other component; and only what is in a bucket and not in one component after that meets pair by pair.
+each other component; and only what is in a bucket and not in one component after that meets pair by pair. These two
+joins have a lower bound in their condition, so that texts which share much and yet too little make no rows: each
+node has a sketch of bits, of which every shingle turns one over; the bits in which two sketches differ are at most as
+many as the shingles in which the sets differ.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ SIZE, LEAST = 5, 0.8
 #: Bits between fingerprints of candidates.
 NEAR = 2
 ROWS, BANDS = 4, 40
+#: Bits of a sketch, in words of 64.
+SKETCH_WORDS = 16
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 4096
@@ -62,6 +67,13 @@ def bands(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that fall on each bit."""
+    bits = 64 * SKETCH_WORDS
+    at = ((found * _ODD) >> np.uint64(40)).astype(np.int64) % bits
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def text_key(text: str):
     """A hash that stands for a row's text; null counts as empty."""
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
@@ -78,10 +90,12 @@ def _prints(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             flat = np.concatenate([bands(s) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
             cut = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat))
             prints = pa.array([simhash(t, SIZE) for t in b.column(2).to_pylist()], pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array([len(s) for s in sets], pa.int64()), prints, cut], names=["id", "text_key", "node", "n", "fp", "bands"])
+            bits = np.concatenate([sketch(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH_WORDS, pa.int32()), pa.array(bits))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array([len(s) for s in sets], pa.int64()), prints, cut, sketches], names=["id", "text_key", "node", "n", "fp", "bands", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return map_batches(rows, run, f"id {kind}, text_key string, node long, n long, fp long, bands array<long>")
+    return map_batches(rows, run, f"id {kind}, text_key string, node long, n long, fp long, bands array<long>, sketch array<long>")
 
 
 def _similar(batches, least: float):
@@ -113,9 +127,9 @@ def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", t
         raise ValueError(f"the bands cover similarities from {LEAST} on")
     with stashes(docs.sparkSession) as keep:
         prints = keep(_prints(docs, id_col, text), "prints")
-        nodes = stash(prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).where("n > 0"), "nodes")
+        nodes = stash(prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("n > 0"), "nodes")
 
-        members = nodes.select("node", "n", F.explode("bands").alias("band"))
+        members = nodes.select("node", "n", F.posexplode("bands").alias("k", "band"))
         lowest = members.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", "lo")
         shared = stash(members.join(lowest, "band"), "shared")
         votes = shared.where("node > lo").groupBy("node", "lo").agg(F.count("*").alias("n"))
@@ -127,7 +141,7 @@ def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", t
 
         wanted = shared.select("node").unionByName(tried.select(F.col("a").alias("node"))).unionByName(tried.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_key"), "node")
         texts = docs.select(text_key(text).alias("text_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        held = stash(texts.join(wanted, "text_key").select("node", "text").dropDuplicates(["node"]), "texts")
+        held = stash(texts.join(wanted.hint("merge"), "text_key").select("node", "text").dropDuplicates(["node"]), "texts")
 
         def verified(pairs: DataFrame) -> DataFrame:
             ends = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
@@ -136,24 +150,34 @@ def near_copies(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", t
         def labelled(links: DataFrame) -> DataFrame:
             return components(links, nodes.select("node", F.col("node").alias("first")))
 
-        def unsettled(labels: DataFrame) -> DataFrame:
-            """Members of the buckets that hold several components."""
-            at = stash(shared.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component")), "members")
+        def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+            """Rows (band, k, node, n) of the buckets that hold several components."""
+            at = stash(rows.select("band", "k", "node", "n").join(labels, "node", "left").select("band", "k", "node", "n", F.coalesce("component", "node").alias("component")), "members")
             several = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
             return stash(at.join(several, "band"), "unsettled")
 
         def met(rows: DataFrame, others: DataFrame) -> DataFrame:
-            """Pairs of a bucket in different components, of sizes that allow the similarity."""
-            y = others.select("band", F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"))
-            found = rows.join(y, "band").where((F.col("component") != F.col("other")) & (F.least("n", "m") >= (least - 1e-9) * F.greatest("n", "m")))
+            """Pairs of a bucket in different components whose sizes and sketches allow the similarity.
+
+            A pair comes from the first bucket it shares alone. So a node still meets one node of each component that
+            it shares a bucket with: the smallest that is there, which speaks for its component wherever it is.
+            """
+            y = others.select(F.col("band").alias("bucket"), F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("sketch").alias("bits"), F.col("bands").alias("buckets"))
+            differ = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("bits", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+            close = (F.least("n", "m") >= (least - 1e-9) * F.greatest("n", "m")) & (differ <= (F.col("n") + F.col("m")) * ((1 - least) / (1 + least) + 1e-9))
+            earlier = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("k")), F.slice("buckets", F.lit(1), F.col("k")))
+            found = rows.join(y.hint("merge"), (F.col("band") == F.col("bucket")) & (F.col("component") != F.col("other")) & close & ~earlier)
             return _ordered(found.select(F.col("node").alias("x"), "y"))
 
+        def with_sketches(rows: DataFrame) -> DataFrame:
+            return stash(rows.join(nodes.select("node", "sketch", "bands"), "node"), "sketched")
+
         links = verified(tried)
-        rest = unsettled(labelled(links))
-        one = rest.groupBy("band", "component").agg(F.min(F.struct("node", "n")).alias("s")).select("band", "component", "s.node", "s.n")
+        rest = with_sketches(unsettled(shared, labelled(links)))
+        one = rest.groupBy("band", "component").agg(F.min(F.struct("node", "n", "sketch", "bands")).alias("s")).select("band", "component", "s.node", "s.n", "s.sketch", "s.bands")
         second = stash(met(rest, one).join(tried, ["a", "b"], "left_anti"), "tried")
         links = links.unionByName(verified(second))
-        rest = unsettled(labelled(links))
+        rest = with_sketches(unsettled(rest, labelled(links)))  # components only grow, so other buckets stay settled
         third = met(rest, rest).join(tried.unionByName(second), ["a", "b"], "left_anti")
         links = links.unionByName(verified(third))
         labels = keep(labelled(links), "labels")

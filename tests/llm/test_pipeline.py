@@ -106,3 +106,16 @@ def test_texts_of_unknown_scripts_go(spark):
     other = [(1000 + k, " ".join("".join(chr(ord(a) + rng.randrange(n)) for _ in range(rng.randrange(2, 8))) for _ in range(150)), None) for k, (a, n) in enumerate(scripts * 10)]
     left = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, table(spark, known + other).select(*corpus_pipeline.COLUMNS), "").collect()}
     assert {i for i, *_ in known} <= left and len({i for i, *_ in other} & left) <= 6
+
+
+def test_sketches_bound_the_difference():
+    """Sketches differ in no more bits than the sets in shingles, and in as many where the sets are small."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 20, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for changed in (0, 1, n // 10, n):
+            b = np.unique(np.concatenate((a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64))))
+            bits = int(np.bitwise_count((near_copies.sketch(a) ^ near_copies.sketch(b)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b)) and (n > 20 or bits >= len(np.setxor1d(a, b)) - 6)

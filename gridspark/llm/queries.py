@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import byte_bpe, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity
-from gridspark.llm.common import table
+from gridspark.llm import byte_bpe, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity, vector_codes
+from gridspark.llm.common import stash, table
 
 TOXIC_FROM = 0.7
 
@@ -68,6 +69,14 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.search(codes, codes.where("id % 50 = 0"), 10)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", carry=("label",))
+    by_label = stash(coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")), "labels")  # its size is known: small ones are broadcast
+    digest = hashlib.sha256(vector_codes.listed(books).encode()).hexdigest()
+    joined = coded.join(by_label, F.col("label").eqNullSafe(F.col("of")), "left")
+    return joined.select("vec_id", vector_codes.hex_codes(F.col("codes")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 OP10_SQL = """
 WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
 pairs AS (
@@ -104,9 +113,31 @@ UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
 """
 
 
+def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry, round by round; sums of squares stay exact in doubles."""
+    assign = lambda k: f"""a{k} AS MATERIALIZED (SELECT s.row_id, s.p, min((xx - 2 * list_inner_product(s.x, b.x) + list_inner_product(b.x, b.x)) * {entries} + b.k) AS dk
+  FROM slices s JOIN b{k} b ON s.p = b.p GROUP BY 1, 2),
+e{k} AS MATERIALIZED (SELECT row_id, p, CAST(dk AS BIGINT) % {entries} AS k, CAST(dk AS BIGINT) // {entries} AS d FROM a{k})"""
+    refine = lambda k: f"""m{k} AS (SELECT p, k, i, CAST(sum(c) AS BIGINT) AS total, count(*) AS n FROM (SELECT e.p, e.k, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM e{k} e JOIN slices s ON e.row_id = s.row_id AND e.p = s.p) GROUP BY 1, 2, 3),
+l{k} AS (SELECT p, k, list(CAST((total - ((total % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS x FROM m{k} GROUP BY 1, 2),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(l.x, b.x) AS x FROM b{k} b LEFT JOIN l{k} l ON b.p = l.p AND b.k = l.k)"""
+    steps = ",\n".join(x for k in range(rounds) for x in (assign(k), refine(k))) + ",\n" + assign(rounds)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row_id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+slices AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM (SELECT row_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p))),
+b0 AS MATERIALIZED (SELECT p, row_id - 1 AS k, x FROM slices WHERE row_id <= {entries}),
+{steps},
+digest AS (SELECT sha256(coalesce(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, i), '')) AS sha FROM (SELECT p, k, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM b{rounds})),
+coded AS (SELECT row_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM e{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM coded JOIN kept USING (row_id), digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search, op11_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op10_exact_search": OP10_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_search": OP10_SQL, "op11_vector_codes": _op11_sql()}

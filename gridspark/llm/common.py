@@ -138,6 +138,12 @@ def map_batches(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of these rows."""
+    columns = zip(*rows) if rows else ((),) * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def by_size(batches: Iterable[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of one come to at most `most` bytes (or are one text)."""
     for b in batches:

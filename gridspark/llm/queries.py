@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import byte_bpe, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity, vector_codes
+from gridspark.llm import byte_bpe, conversation_repair, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity, vector_codes
 from gridspark.llm.common import stash, table
 
 TOXIC_FROM = 0.7
@@ -77,6 +77,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", vector_codes.hex_codes(F.col("codes")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    found = stash(conversation_repair.summarise(rows), "summaries")
+    return conversation_repair.digests(rows, found).withColumnRenamed("conv", "conv_id")
+
+
 OP10_SQL = """
 WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
 pairs AS (
@@ -135,9 +141,43 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def _op13_sql() -> str:
+    """The least (cost, audit) of each of four places, row by row; s0 nothing yet, s1 after s, s2 after u, s3 after a."""
+    least = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+    add = lambda s, cost, letter, row="''": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {s}.t || {row}}}"
+    put = lambda s, role: add(s, 2, "I", f"chr(10) || '{role}:'")
+    never = "{'c': 1000000, 'a': '', 't': ''}"
+    keep = lambda s, role: f"CASE WHEN r.kind < 2 AND r.initial = '{role}' THEN {add(s, 'r.kind', 'K', 'chr(10) || r.role || chr(58) || r.text')} ELSE {never} END"
+    turn = lambda s, role: f"CASE WHEN r.kind < 2 THEN {add(s, '2 + r.kind', 'R', f"chr(10) || '{role}:' || r.text")} ELSE {never} END"
+    gone = lambda s: add(s, 3, "D")
+    insert = lambda frm, rest: f"SELECT {rest}, s0, s1, {least('s2', *(put(s, 'user') for s in ('s0', 's1', 's3')))} AS s2, {least('s3', put('s2', 'assistant'))} AS s3 FROM ({frm})"
+    closed = lambda frm: insert(insert(frm, "conv_id, i"), "conv_id, i")
+    moved = f"""SELECT r.conv_id, r.i, {gone("d.s0")} AS s0, {least(gone("d.s1"), keep("d.s0", "s"))} AS s1,
+    {least(gone("d.s2"), *(f(s, "u" if f is keep else "user") for s in ("d.s0", "d.s1", "d.s3") for f in (keep, turn)))} AS s2, {least(gone("d.s3"), keep("d.s2", "a"), turn("d.s2", "assistant"))} AS s3
+    FROM d JOIN r ON d.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = d.i + 1"""
+    return rf"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+drawn AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: list_reduce(range(8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295) % 20 AS z FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE WHEN z = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE WHEN z = 1 THEN '' WHEN z = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(range(CASE z WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+r AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 2 WHEN nth > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 1 ELSE 0 END AS kind FROM seen),
+every AS (SELECT DISTINCT conv_id FROM conversations),
+d AS ({closed(f"SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM every")}
+  UNION ALL {closed(moved)}),
+pairs AS (SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS two FROM r),
+counts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 2) AS blank, count(*) FILTER (kind = 3) AS duplicate, count(*) FILTER (kind = 1) AS truncated FROM r GROUP BY 1),
+wrong AS (SELECT conv_id, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1),
+best AS (SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, {least("s0", "s3")} AS s
+  FROM every e LEFT JOIN counts c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN wrong w ON e.conv_id IS NOT DISTINCT FROM w.conv_id JOIN d ON e.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = coalesce(n, 0))
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(s.c AS BIGINT) AS cost, s.a AS audit, sha256(substring(s.t, 2)) AS repaired_sha256 FROM best
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search, op11_vector_codes, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op10_exact_search": OP10_SQL, "op11_vector_codes": _op11_sql()}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_search": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_conversation_repair": _op13_sql()}

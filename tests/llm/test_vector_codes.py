@@ -40,7 +40,7 @@ def random_rows(seed: int, n: int, spread: float) -> list[tuple]:
     rng = random.Random(seed)
     rows = [(i, [rng.gauss(0, spread) for _ in range(8)], rng.randrange(3), "x", 1, "y") for i in range(n)]
     rows = [(i, np.float32(v).tolist(), *rest) for i, v, *rest in rows]
-    return rows + [(None, rows[0][1], None, None, None, None), (3, rows[5][1], 1, "x", 1, "y"), rows[7], rows[7], (n, None, 1, "x", 1, "y"), (n + 1, [None] + rows[1][1][1:], 1, "x", 1, "y"), (n + 2, [math.nan] + rows[1][1][1:], 1, "x", 1, "y"), (n + 3, [-math.inf] + rows[1][1][1:], 1, "x", 1, "y")]
+    return rows + [(None, rows[0][1], None, None, None, None), (3, rows[4][1], 1, "x", 1, "y"), rows[2], rows[2], (n, None, 1, "x", 1, "y"), (n + 1, [None] + rows[1][1][1:], 1, "x", 1, "y"), (n + 2, [math.nan] + rows[1][1][1:], 1, "x", 1, "y"), (n + 3, [-math.inf] + rows[1][1][1:], 1, "x", 1, "y")]
 
 
 @pytest.mark.parametrize("n, entries, spread", [(150, 20, 1.0), (90, 70, 0.002), (5, 16, 0.3)])

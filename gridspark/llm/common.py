@@ -93,6 +93,18 @@ def stashes(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
             _remove(spark, path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """In the block, a query's shuffle files go once it has ended: what stashes leave behind is their tables alone."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free(df: DataFrame) -> None:
     """Delete a stash that nothing reads any more; other frames are left alone."""
     path = _path_of.pop(df, None)

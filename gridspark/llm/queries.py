@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import byte_bpe, conversation_repair, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, token_counts, toxicity, vector_codes
+from gridspark.llm import byte_bpe, conversation_repair, exact_search, fingerprint, language, line_dedup, packing, quality, simhash, suffix_dedup, token_counts, toxicity, vector_codes
 from gridspark.llm.common import stash, table
 
 TOXIC_FROM = 0.7
@@ -77,6 +77,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", vector_codes.hex_codes(F.col("codes")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damage(table(spark, sf_dir, "conversations"))
     found = stash(conversation_repair.summarise(rows), "summaries")
@@ -95,6 +100,22 @@ SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
 """
 
 
+#: Every string of 200 bytes by its digest.
+OP12_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(array_slice(b, i, i + 199)) AS m FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+again AS (SELECT r, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+marked AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM again),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS z FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS x, a AS y FROM spans
+  UNION ALL SELECT d.r, coalesce(max(z), 1), any_value(octet_length(b)) + 1 FROM d LEFT JOIN spans ON d.r = spans.r GROUP BY d.r),
+kept AS (SELECT g.r, coalesce(string_agg(hex(array_slice(b, x, y - 1)), '' ORDER BY x) FILTER (y > x), '') AS h FROM gaps g JOIN d ON g.r = d.r GROUP BY g.r),
+sums AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, raw, trim(raw, ' ') AS line, len(regexp_extract_all(raw, '[^ \t\n\x0B\f\r]+')) AS w
@@ -162,7 +183,9 @@ drawn AS (SELECT *, xor(list_reduce(list_transform(string_split(k, ''), lambda x
 damaged AS (SELECT conv_id, turn, CASE WHEN z = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
   CASE WHEN z = 1 THEN '' WHEN z = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(range(CASE z WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn),
 seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
-r AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 2 WHEN nth > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 1 ELSE 0 END AS kind FROM seen),
+r AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 2 WHEN nth > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 1 ELSE 0 END AS kind FROM seen),
 every AS (SELECT DISTINCT conv_id FROM conversations),
 d AS ({closed(f"SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM every")}
   UNION ALL {closed(moved)}),
@@ -176,8 +199,8 @@ SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illeg
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search, op11_vector_codes, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_toxicity, op2_fingerprint, op3_quality, op4_byte_bpe, op5_line_dedup, op6_packing, op7_token_counts, op8_simhash, op9_language, op10_exact_search, op11_vector_codes, op12_suffix_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op10_exact_search": OP10_SQL, "op11_vector_codes": _op11_sql(), "op13_conversation_repair": _op13_sql()}
+    return {"op5_line_dedup": OP5_SQL, "op10_exact_search": OP10_SQL, "op11_vector_codes": _op11_sql(), "op12_suffix_dedup": OP12_SQL, "op13_conversation_repair": _op13_sql()}

@@ -208,22 +208,43 @@ def _compared_runs(batches):
     yield from out.filter(pa.array(what > 0)).to_batches(65_536)
 
 
+def _tried_runs(column) -> tuple[np.ndarray, ...]:
+    """(row, start, n, what) of the runs of a batch's texts, in order, each once."""
+    flat, row = column.flatten(), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    start, n, what = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    order = np.lexsort((-what, start, row))
+    row, start, n, what = row[order], start[order], n[order], what[order]
+    once = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1])))[: len(row)]
+    return row[once], start[once], n[once], what[once]
+
+
 def _places_of(batches, least: int, gram: int):
     """Rows (t1, t2, id, mark, place): the places of a text's tried runs; of a run that repeats anyway as -1 - place."""
     for batch in batches:
         texts = _bytes_of(batch.column(2))
-        for i, tried in enumerate(batch.column(3).to_pylist()):
-            text = texts[i]
-            step = (1 << BLOCK_BITS) - least + 1
-            spans = sorted((s, s + n, what) for s, n, what in ((r["start"], r["n"], r["what"]) for r in tried))
-            pieces: list[tuple[int, int, int]] = [(k, min(k + step, b), w) for a, b, w in spans for k in range(a, b, step)]
-            for a, b, what in pieces:
-                sums = _sums(np.frombuffer(text[a : b - 1 + least], np.uint8))
-                at = np.arange(b - a)
-                t1, t2 = _hashes(sums, at, at + gram), _hashes(sums, at + gram, at + least)
-                place = at + a if what == TRIED else -1 - (at + a)
-                own = pa.array(np.full(b - a, i))
-                yield pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(place)], names=["t1", "t2", "id", "mark", "place"])
+        row, start, n, what = _tried_runs(batch.column(3))
+        if not len(row):
+            continue
+        # neighbouring runs share their bytes; a block's runs are hashed at once
+        apart = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + n[:-1])))
+        block = np.cumsum(n + apart * (least - 1)) // ((1 << BLOCK_BITS) - 2 * least)
+        cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))).tolist()
+        for low, high in zip(cuts, cuts[1:]):
+            opens = apart[low:high].copy()
+            opens[0] = True
+            first = np.flatnonzero(opens) + low
+            size = np.add.reduceat(n[low:high], first - low) + least - 1
+            parts = [texts[i][a : a + m] for i, a, m in zip(row[first].tolist(), start[first].tolist(), size.tolist())]
+            sums = _sums(np.frombuffer(b"".join(parts), np.uint8))
+            run = np.repeat(np.arange(low, high), n[low:high])
+            within = np.arange(len(run)) - np.repeat(np.cumsum(n[low:high]) - n[low:high], n[low:high])
+            place = start[run] + within
+            stretch = np.cumsum(opens)[run - low] - 1
+            at = place - start[first][stretch] + (np.cumsum(size) - size)[stretch]
+            t1, t2 = _hashes(sums, at, at + gram), _hashes(sums, at + gram, at + least)
+            place = np.where(what[run] == TRIED, place, -1 - place)
+            own = pa.array(row[run])
+            yield pa.RecordBatch.from_arrays([pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(place)], names=["t1", "t2", "id", "mark", "place"])
 
 
 def _compared_places(batches):

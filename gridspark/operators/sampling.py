@@ -44,5 +44,7 @@ def sample(df: DataFrame, how: Sampling, task: str = "date", cell: str = "cell_i
         return df
     date = None if how.fixed else F.col(task)
     most = F.lit(how.n) if how.n is not None else draws(F.col(task), how.low, how.high, how.seed)
+    # the literal bound beside the drawn one lets each task's rows be cut before they are shuffled and sorted
+    bound = how.n if how.n is not None else max(how.low, how.high - 1)
     order = Window.partitionBy(task).orderBy(order_key(F.col(cell), date, how.seed), cell)
-    return df.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).drop("__k")
+    return df.withColumn("__k", F.row_number().over(order)).where((F.col("__k") <= bound) & (F.col("__k") <= most)).drop("__k")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import calendar
 from gridspark.operators import clean, climatology, fields, mesh, normalize, sampling, tasks
 from gridspark.operators.sampling import Sampling
-from gridspark.plans import flow, metrics, placement, predictors, runs
+from gridspark.plans import flow, metrics, neighbours, placement, predictors, readout, runs
 from gridspark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -530,7 +530,7 @@ w AS (SELECT *, min(val_rmse) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECED
 SELECT epoch, loss, val_rmse, val_rmse < coalesce(before, 'inf'::DOUBLE) AS is_best FROM w""")
 def train_metrics(spark, sf_dir):
     """Load, anomalies, tasks, epochs with contexts drawn anew, and the error on fixed validation tasks."""
-    found = _flow(spark, sf_dir).train(None, flow.lengths(list(LENGTHS)), ("1996-01-01", "1997-12-31"), ("1998-01-01", "1998-12-31"), 5, (1, 5))
+    found = _flow(spark, sf_dir).train(None, flow.lengths(list(LENGTHS), 15.0), ("1996-01-01", "1997-12-31"), ("1998-01-01", "1998-12-31"), 5, (1, 5))
     return found.select("epoch", F.round("loss", 6).alias("loss"), F.round("val_rmse", 4).alias("val_rmse"), "is_best")
 
 
@@ -544,3 +544,78 @@ def predict_stations(spark, sf_dir):
     stations = spark.createDataFrame([(0, 48.0, -72.5), (1, 66.0, -55.0)], "target_id int, lat double, lon double")
     found = run.predict(predictors.SetConv(0.3), run.dates("1999-01-01", "1999-05-20"), stations)
     return found.select(F.col("date").cast("string").alias("date"), "target_id", "lat", "lon", F.round("mean", 4).alias("mean"))
+
+
+def _days_sql(start: str, end: str) -> str:
+    return f"date >= DATE '{start}' AND date <= DATE '{end}' AND date_diff('day', DATE '{start}', date) % 5 = 0"
+
+
+TRAIN, VAL = ("1996-01-01", "1997-12-31"), ("1998-01-01", "1998-12-31")
+
+
+def _met_sql(days: str, seed: int, low: int, high: int, kernel: str, l1: str, l2: str) -> str:
+    """Sums at every target of every task, with derivatives by the logarithms of the lengths; kernel: a row with them."""
+    return f"""(SELECT date, cell_id, any_value(y) AS y, coalesce(sum(w * cy), 0) AS s, coalesce(sum(w), 0) AS d, coalesce(sum(w * q1 * cy), 0) AS s1, coalesce(sum(w * q1), 0) AS d1, coalesce(sum(w * q2 * cy), 0) AS s2, coalesce(sum(w * q2), 0) AS d2
+FROM (SELECT *, exp(-(q1 + q2) / 2) AS w FROM (SELECT t.date, t.cell_id, t.y, c.y AS cy, power((c.x1 - t.x1) / {l1}, 2) AS q1, power((c.x2 - t.x2) / {l2}, 2) AS q2
+FROM (SELECT * FROM ser WHERE {days}) t LEFT JOIN (SELECT ser.* FROM ser WHERE {days} QUALIFY row_number() OVER (PARTITION BY date ORDER BY md5(cell_id || ':{seed}:' || date), cell_id) <= {low} + CAST('0x' || substr(md5(date || ':n:{seed}'), 1, 8) AS BIGINT) % {high - low}) c ON t.date = c.date, {kernel}))
+GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {FLOW}, k AS (SELECT 0.3 AS l) SELECT round(sqrt(avg(power(((CASE WHEN d > 0 THEN s / d ELSE 0 END) - y) * sd, 2))), 4) AS rmse, COUNT(*) AS n, CAST(0 AS BIGINT) AS n_null
+FROM {_met_sql(_days_sql(*VAL), 0, 0, 3, "k", "l", "l")}, mm""")
+def rmse_with_empty_contexts(spark, sf_dir):
+    """Tasks of no to two context points: all targets of all tasks count, those without context with the prior mean."""
+    run = _flow(spark, sf_dir)
+    points = run.generate_tasks(run.dates(*VAL, 5), (0, 3), seed=0)
+    return metrics.rmse(run.predicted(predictors.SetConv(0.3, 2.4), points), run.truth(points), ["date", "cell_id"]).withColumn("rmse", F.round("rmse", 4))
+
+
+RATE, START = 0.1, (0.3, 0.25, 0.1)
+
+
+def _learned_sql(epochs: int) -> str:
+    """Epochs of one step each: the state's logarithms a1..a3, means m1..m3 and v1..v3 of the gradient and its square."""
+    steps = [f"t0 AS (SELECT {', '.join(f'ln({x}::DOUBLE) AS a{k}, 0::DOUBLE AS m{k}, 0::DOUBLE AS v{k}' for k, x in enumerate(START, 1))})"]
+    for e in range(1, epochs + 1):
+        state, p = f"t{e - 1}", "exp(a3)"
+        slopes = [f"(s{k} - s / (d + {p}) * d{k}) / (d + {p})" for k in (1, 2)] + [f"-s / (d + {p}) * {p} / (d + {p})"]
+        steps.append(f"""g{e} AS (SELECT avg(l) AS l, {', '.join(f'avg(g{k}) AS g{k}' for k in (1, 2, 3))} FROM (SELECT date, avg(power(s / (d + {p}) - y, 2)) AS l, {', '.join(f'avg(2 * (s / (d + {p}) - y) * ({x})) AS g{k}' for k, x in enumerate(slopes, 1))}
+FROM {_met_sql(_days_sql(*TRAIN), e, 0, 5, state, "exp(a1)", "exp(a2)")}, {state} GROUP BY 1))""")
+        means = ", ".join(f"0.9 * m{k} + 0.1 * g{k} AS m{k}, 0.999 * v{k} + 0.001 * g{k} * g{k} AS v{k}" for k in (1, 2, 3))
+        steps.append(f"u{e} AS (SELECT a1, a2, a3, {means} FROM {state}, g{e})")
+        steps.append(f"t{e} AS (SELECT {', '.join(f'a{k} - {RATE} * (m{k} / (1 - power(0.9, {e}))) / (sqrt(v{k} / (1 - power(0.999, {e}))) + 1e-8) AS a{k}, m{k}, v{k}' for k in (1, 2, 3))} FROM u{e})")
+        steps.append(f"""r{e} AS (SELECT round(sqrt(avg(power((s / (d + exp(a3)) - y) * sd, 2))), 4) AS val_rmse FROM {_met_sql(_days_sql(*VAL), 0, 0, 5, f"t{e}", "exp(a1)", "exp(a2)")}, t{e}, mm)""")
+    rows = " UNION ALL ".join(f"SELECT {e} AS epoch, round(l, 6) AS loss, val_rmse, round(exp(a1), 6) AS length1, round(exp(a2), 6) AS length2, round(exp(a3), 6) AS prior FROM g{e}, r{e}, t{e}" for e in range(1, epochs + 1))
+    return f"""WITH {FLOW}, {", ".join(steps)}, e AS ({rows}),
+w AS (SELECT *, min(val_rmse) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT epoch, loss, val_rmse, length1, length2, prior, val_rmse < coalesce(before, 'inf'::DOUBLE) AS is_best FROM w"""
+
+
+@query(_learned_sql(2))
+def learn_lengths(spark, sf_dir):
+    """Two epochs of gradient descent on both kernel lengths and the prior's weight, contexts of no to four cells."""
+    found = _flow(spark, sf_dir).fit(None, predictors.Kernel(*START, reach=8.0), 2, RATE, None, TRAIN, VAL, 5, (0, 5))
+    rounded = {c: F.round(c, 6) for c in ("loss", "length1", "length2", "prior")} | {"val_rmse": F.round("val_rmse", 4)}
+    return found.withColumns(rounded)
+
+
+READOUT = f"""zc AS (SELECT t.cell_id, sum(w * z) / sum(w) AS z FROM (SELECT t.cell_id, CASE WHEN st.mask THEN 1.0 ELSE -1.0 END AS z, exp(-(power((l.x1 - t.x1) / 0.3, 2) + power((l.x2 - t.x2) / 0.25, 2)) / 2) AS w FROM ce t, ce l JOIN st ON st.cell_id = l.cell_id) t GROUP BY 1),
+f AS (SELECT [1.0::DOUBLE, s / (d + 0.1), d / (d + 0.1), z, z * s / (d + 0.1), y] AS f FROM {_met_sql(_days_sql(*TRAIN), 1, 0, 5, "(SELECT 0)", "0.3", "0.25")} m JOIN zc ON m.cell_id = zc.cell_id)"""
+
+
+@query(f"WITH {FLOW}, {READOUT} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(f[i + 1] * f[j + 1]), 4) AS value FROM f, range(6) a(i), range(6) b(j) WHERE i <= j GROUP BY 1, 2")
+def readout_normal_equations(spark, sf_dir):
+    """The sums from which the read-out's weights follow: kernel mean, density, the mask layer and its product with the mean."""
+    run = _flow(spark, sf_dir)
+    context, targets = run._meetings(run.generate_tasks(run.dates(*TRAIN, 5), (0, 5), seed=1))
+    return readout.normal_equations(context, targets, predictors.Kernel(*START), run.layer_frames()).withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {DAILY}, {STATIC}, t AS ({GRID}), p AS (SELECT date, target_id, d.x1, d.x2, y, power(d.x1 - t.x1, 2) + power(d.x2 - t.x2, 2) AS d2 FROM d, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY date, target_id ORDER BY d2, x1, x2, y) AS rank FROM p)
+SELECT CAST(date AS VARCHAR) AS date, target_id, CAST(rank AS INTEGER) AS rank, x1, x2, y, d2 FROM r WHERE rank <= 12""")
+def nearest_context(spark, sf_dir):
+    """The 12 events nearest to each cell on each date."""
+    wanted = _daily(spark, sf_dir).select("date").distinct().crossJoin(_grid_targets(spark, sf_dir))
+    found = neighbours.nearest(_daily(spark, sf_dir), wanted, 12).select("date", "target_id", F.posexplode("near").alias("rank", "p"))
+    return found.select(F.col("date").cast("string").alias("date"), "target_id", (F.col("rank") + 1).alias("rank"), "p.x1", "p.x2", "p.y", "p.d2")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.plans.smoothing import kernel_sums
+
 #: Targets at most that may meet the whole context; also the bound of what is broadcast.
 TARGETS = 10_000
 JOINT_TARGETS = 2_000
@@ -27,7 +30,7 @@ def setconv(context: DataFrame, targets: DataFrame, length: float, reach: float
     d2 = F.pow(F.col("x1") - F.col("t1"), 2) + F.pow(F.col("x2") - F.col("t2"), 2)
     if reach is None:
         if t.limit(TARGETS + 1).count() > TARGETS:
-            raise ValueError(f"more than {TARGETS} targets need a reach")
+            raise ValueError(f"more than {TARGETS} targets need a reach; smooth() takes a grid of any size")
         pairs = c.crossJoin(F.broadcast(t))
     else:
         square = lambda x: F.floor(x / F.lit(reach))
@@ -101,27 +104,61 @@ def gp_predict(context: DataFrame, targets: DataFrame, length: float, noise: flo
 
 
 class Predictor(Protocol):
-    """What the flow needs of a model: date, target_id, mean, std at the targets of each date of a context."""
+    """What the flow needs of a model: date, target_id, mean, std for every row of `wanted`.
+
+    context: date, x1, x2, y; wanted: date, target_id, x1, x2 (a target has one place on all dates). A date without context has the prior: mean 0 (in model
+    space), and deviation 1 where the model has one. layers: static frames (x1, x2, y), for models that use them.
+    """
 
-    def predict(self, context: DataFrame, targets: DataFrame) -> DataFrame: ...
+    def predict(self, context: DataFrame, wanted: DataFrame, layers: Sequence[DataFrame] = ()) -> DataFrame: ...
 
     def parameters(self) -> dict[str, float | None]: ...
 
 
 @dataclass(frozen=True)
 class SetConv:
-    """The kernel mean; it has no deviation (std is null). For contexts of any size."""
+    """The kernel mean over the whole context (context of any size), or over what lies within a reach (sampled context).
+
+    It has no deviation (std is null).
+    """
 
     length: float
     reach: float | None = None
 
-    def predict(self, context: DataFrame, targets: DataFrame) -> DataFrame:
-        return setconv(context, targets, self.length, self.reach).select("date", "target_id", "mean", F.lit(None).cast("double").alias("std"))
+    def predict(self, context: DataFrame, wanted: DataFrame, layers: Sequence[DataFrame] = ()) -> DataFrame:
+        found = kernel_sums(context, wanted, self.length, self.length, None if self.reach is None else self.reach / self.length)
+        mean = F.coalesce(F.col("signal") / F.nullif("density", F.lit(0.0)), F.lit(0.0))
+        return found.select("date", "target_id", mean.alias("mean"), F.lit(None).cast("double").alias("std"))
 
     def parameters(self) -> dict[str, float | None]:
         return {"length": self.length, "reach": self.reach}
 
 
+@dataclass(frozen=True)
+class Kernel:
+    """The kernel mean with a length for each axis, drawn to the prior mean 0 as if `prior` points had said so.
+
+    sum(w y) / (sum(w) + prior): far from all context it tends to 0. Its first three parameters are what training learns.
+    reach, in lengths: how far context counts, for sampled context; without it all of it, for context of any size.
+    """
+
+    length1: float
+    length2: float
+    prior: float = 0.0
+    reach: float | None = None
+
+    def predict(self, context: DataFrame, wanted: DataFrame, layers: Sequence[DataFrame] = ()) -> DataFrame:
+        found = kernel_sums(context, wanted, self.length1, self.length2, self.reach)
+        return found.select("date", "target_id", self.mean().alias("mean"), F.lit(None).cast("double").alias("std"))
+
+    def mean(self) -> Column:
+        weight = F.col("density") + F.lit(self.prior)
+        return F.when(weight > 0, F.col("signal") / weight).otherwise(0.0)
+
+    def parameters(self) -> dict[str, float | None]:
+        return {"length1": self.length1, "length2": self.length2, "prior": self.prior, "reach": self.reach}
+
+
 @dataclass(frozen=True)
 class GaussianProcess:
     """Mean and deviation from a sampled context."""
@@ -130,8 +167,10 @@ class GaussianProcess:
     noise: float = 1e-2
     most: int = 500
 
-    def predict(self, context: DataFrame, targets: DataFrame) -> DataFrame:
-        return gp_predict(context, targets, self.length, self.noise, most=self.most)
+    def predict(self, context: DataFrame, wanted: DataFrame, layers: Sequence[DataFrame] = ()) -> DataFrame:
+        found = gp_predict(context, wanted.select("target_id", "x1", "x2").dropDuplicates(["target_id"]), self.length, self.noise, most=self.most)
+        joined = wanted.select("date", "target_id").join(found, ["date", "target_id"], "left")
+        return joined.select("date", "target_id", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("std", F.lit(1.0)).alias("std"))
 
     def parameters(self) -> dict[str, float | None]:
         return {"length": self.length, "noise": self.noise, "most": float(self.most)}
@@ -147,6 +186,16 @@ def predictor_of(stored: DataFrame) -> Predictor:
     found = dict(row["parameters"])
     if row["kind"] == "SetConv":
         return SetConv(**found)
+    if row["kind"] == "LayerReadout":
+        from gridspark.plans.readout import readout_of
+
+        return readout_of(found)
+    if row["kind"] == "NearestProcess":
+        from gridspark.plans.neighbours import NearestProcess
+
+        return NearestProcess(**{**found, "k": int(found["k"])})
+    if row["kind"] == "Kernel":
+        return Kernel(**found)
     if row["kind"] == "GaussianProcess":
         return GaussianProcess(**{**found, "most": int(found.get("most", 500))})
     raise ValueError(f"unknown predictor {row['kind']}")

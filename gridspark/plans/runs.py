@@ -35,3 +35,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def predictions_for_export(pred: DataFrame) -> DataFrame:
     """mean and std under the names that they have in files."""
     return pred.withColumnsRenamed({"mean": "mn", "std": "sd"})
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

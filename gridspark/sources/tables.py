@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,18 @@ def register_netcdf(spark: SparkSession) -> None:
     from gridspark.sources.netcdf import NetcdfSource
 
     spark.dataSource.register(NetcdfSource)
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written and read again, so that what reads it often does not work it out each time: at path, or else by
+    checkpoint() in the folder of spark.checkpoint.dir (a temporary one only where that is unset and the master local)."""
+    spark = df.sparkSession
+    if path is not None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    if not spark.sparkContext.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridspark-"))
+    return df.checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -93,9 +94,15 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     if path is not None:
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
+    shared_folder(spark)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of spark.checkpoint.dir, a temporary one only where it is unset and the master local."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gridspark-"))
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()

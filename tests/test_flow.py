@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan
 
 from gridspark.functions import calendar
 from gridspark.operators import clean, climatology, fields, normalize, sampling, tasks
@@ -246,18 +247,53 @@ def test_netcdf_grids_as_batches(spark, monkeypatch):
     source = NetcdfSource(options)
     assert source.schema().endswith("lon double, `sst` double, `ice` double") and source.schema().startswith("time timestamp_ntz")
     reader = source.reader(None)
-    assert [p.value for p in reader.partitions()] == [0, 1]
+    assert [(p.start, p.stop) for p in reader.partitions()] == [(0, 2)]
     batches = list(reader.read(reader.partitions()[0]))
-    assert len(batches) == 1 and isinstance(batches[0], pa.RecordBatch)
+    assert len(batches) == 2 and isinstance(batches[0], pa.RecordBatch)
     rows = batches[0].to_pylist()
     assert rows[1] == {"time": dt.datetime(2007, 1, 1), "cell_id": 1, "i_lat": 0, "i_lon": 1, "lat": 41.0, "lon": -87.0, "sst": None, "ice": 1.0} and rows[5]["sst"] == 5.0
-    last = list(NetcdfReader({"path": "x.nc", "variable": "sst", "decodetimes": "false"}).read(reader.partitions()[1]))[0].to_pylist()
+    last = list(NetcdfReader({"path": "x.nc", "variable": "sst", "decodetimes": "false"}).read(reader.partitions()[0]))[1].to_pylist()
     assert [r["value"] for r in last] == [6.0, 7.0, 8.0, 9.0, 10.0, None] and last[0]["time"] == 1.0
     assert NetcdfSource({"variable": "sst", "decodeTimes": "false"}).schema().startswith("time double")
     with pytest.raises(ValueError):
         NetcdfSource({}).schema()
 
 
+def test_netcdf_files_are_planned_by_time(monkeypatch):
+    """Files of years that conditions rule out are never opened; steps come in runs; shared times raise."""
+    opened = []
+
+    def dataset(path):
+        opened.append(path)
+        year = int(path[2:6])
+        days = [(dt.datetime(year, 6, 1) - dt.datetime(2000, 1, 1)).days + k for k in range(20)]
+        return File(time=Variable(np.array(days), "days"), lat=Variable(np.array([41.0])), lon=Variable(np.array([-88.0, -87.0])), sst=Variable(np.ma.asarray([[[k + 0.5, year]] for k in range(20)])))
+
+    stand_in = types.ModuleType("netCDF4")
+    stand_in.Dataset = dataset
+    stand_in.num2date = lambda raw, units, **_: dt.datetime(2000, 1, 1) + dt.timedelta(days=int(raw))
+    monkeypatch.setitem(sys.modules, "netCDF4", stand_in)
+    options = {"path": "G_{date}.nc", "startYear": "2007", "endYear": "2012", "variable": "sst"}
+    reader = NetcdfSource(options).reader(None)
+    filters = [GreaterThanOrEqual(("time",), dt.datetime(2008, 6, 15)), LessThan(("time",), dt.datetime(2009, 6, 3)), GreaterThan(("lat",), 3.0)]
+    assert list(reader.pushFilters(filters)) == filters  # Spark applies them again
+    planned = reader.partitions()
+    assert opened == ["G_2008.nc", "G_2009.nc"]
+    assert [(p.path, p.start, p.stop) for p in planned] == [("G_2008.nc", 14, 20), ("G_2009.nc", 0, 2)]
+    rows = [r for p in planned for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 16 and rows[0]["time"] == dt.datetime(2008, 6, 15) and rows[-1]["value"] == 2009.0
+    every = NetcdfSource({**options, "stepsPerPartition": "7"}).reader(None).partitions()
+    assert [(p.start, p.stop) for p in every[:3]] == [(0, 7), (7, 14), (14, 20)] and len(every) == 15
+    exact = NetcdfSource(options).reader(None)
+    list(exact.pushFilters([EqualTo(("time",), dt.date(2010, 6, 4))]))
+    assert [(p.path, p.start, p.stop) for p in exact.partitions()] == [("G_2010.nc", 3, 4)]
+    with pytest.raises(ValueError, match="share times"):
+        NetcdfSource({"path": "G_2007.nc, a_2007.nc", "variable": "sst"}).reader(None).partitions()
+    monkeypatch.setattr(NetcdfReader, "files", lambda self: [("G_2007.nc", 2008)])
+    with pytest.raises(ValueError, match="beyond 2008"):
+        NetcdfSource(options).reader(None).partitions()
+
+
 def test_small_operators(spark):
     cells = grid(spark)
     assert fields.rename(cells, {"lat": "latitude"}).columns[1] == "latitude"

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows and bytes of one Arrow batch at most. Documents are long, so Spark's 10,000 rows would be hundreds of MB.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
@@ -150,6 +151,40 @@ def map_batches(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of `names` that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drawn_rows(docs: DataFrame, labels: DataFrame, usable, label: str, most: dict[int, int], chars: int) -> list[tuple]:
+    """(doc_id, text, label) of whole labelled texts to fit on: in each class about most[class] ids of the smallest hashes.
+
+    Of these, in the order of their hashes, as many as come to `chars` characters in all. An id counts once in a class,
+    with its smallest text, so nothing depends on partitions; null texts are left out.
+    """
+    known = labels.where(usable & F.col(label).isin(*most)).select("doc_id", F.col(label).alias("label")).distinct()
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    share = F.lit(0.0)
+    for value, n in most.items():
+        share = F.when(F.col("label") == value, n / max(sizes.get(value, 0), 1)).otherwise(share)
+    drawn = known.withColumn("draw", draw).where(F.col("draw") < share)  # about sum(most) ids
+    read = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    once = read.groupBy("draw", "doc_id", "label").agg(F.min("text").alias("text"))
+    bound = 2 * sum(most.values())
+    upto = F.sum(F.length("text")).over(Window.orderBy("draw", "doc_id", "label"))  # over the drawn rows
+    found = once.withColumn("upto", upto).where(F.col("upto") <= chars).select("doc_id", "text", "label").limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} rows to fit on")
+    return [tuple(r) for r in found]
+
+
 def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     """A batch of these rows."""
     columns = zip(*rows) if rows else ((),) * len(schema)

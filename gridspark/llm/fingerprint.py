@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import by_size, map_batches
+from gridspark.llm.common import by_size, fresh, map_batches
 
 EXACT_LANES, LIKE_LANES, WINDOW = 16, 256, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -87,9 +87,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with a column of fingerprints (hex). A null text counts as empty. Repeated rows get equal prints."""
-    names = docs.columns
-    bound = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    """docs with a column of fingerprints (hex). A null text counts as empty. Repeated rows get equal prints.
+    A column of docs that has the new name is replaced.
+    """
+    names = [c for c in docs.columns if c != out]
+    bound = docs.select(*[docs[c] for c in names], F.coalesce(docs[text], F.lit("")).alias(fresh(docs, "body")[0]))
 
     def run(batches):
         for b in by_size(batches, b_column):
@@ -99,7 +101,7 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
     b_column = len(names)
     from pyspark.sql.types import StringType, StructField, StructType
 
-    return map_batches(bound, run, StructType([*docs.schema.fields, StructField(out, StringType())]))
+    return map_batches(bound, run, StructType([*(docs.schema[c] for c in names), StructField(out, StringType())]))
 
 
 def edited(text: str, following: str, part: int = 4) -> str:

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import by_size, fold, map_batches, per_process
+from gridspark.llm.common import by_size, fold, fresh, map_batches, per_process
 
 DIMENSIONS, SEED = 1024, 7
 UNKNOWN = "und"
 #: Training texts of each language at most; the bound of the fit, not of what is predicted.
 TRAIN_DOCS = 1500
+#: Languages that are learned at most, the most frequent ones: each is a row on the driver and in every task.
+LANGUAGES = 1000
 #: Trigram vectors kept by a worker (1 KB each).
 KEPT = 40_000
 
@@ -93,7 +95,7 @@ def shared_profiles() -> Profiles:
 
 
 def fit(docs: DataFrame, usable, per_language: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes (unit rows), from at most per_language texts of each language.
+    """Languages and their prototypes (unit rows), from about per_language texts of each language; of the LANGUAGES most frequent ones.
 
     usable: condition of the rows to learn from. The sample is those with the smallest hashes of the id, so it does
     not depend on partitions. Texts are read whole.
@@ -101,7 +103,8 @@ def fit(docs: DataFrame, usable, per_language: int = TRAIN_DOCS) -> tuple[list[s
     spark = docs.sparkSession
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     draw = (F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("draw")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return [], np.zeros((0, DIMENSIONS), dtype=np.float32)
     share = spark.createDataFrame([(lang, per_language / n) for lang, n in counts.items()], "lang string, share double")
@@ -131,9 +134,11 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, keep: tu
     """The kept columns with lang_pred and score (the cosine, cut to 0..1) of every whole text.
 
     und and 0 for a null text, one without a letter, or where no language was learned. Ties go to the first language
-    in alphabetical order. Rows are independent; repeated rows get equal answers.
+    in alphabetical order. Rows are independent; repeated rows get equal answers. Kept columns of the
+    new names are replaced.
     """
-    chosen = docs.select(docs["text"].alias("__text"), *[docs[c] for c in keep])
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
+    chosen = docs.select(docs["text"].alias(fresh(docs, "body")[0]), *[docs[c] for c in keep])
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import map_batches, stash, stashes
+from gridspark.llm.common import fresh, map_batches, stash, stashes
 
 BLOCK_WORDS = 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -119,13 +119,28 @@ def stretches(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -
 
 
 def common_lines(a: np.ndarray, a_words: np.ndarray, b: np.ndarray, b_words: np.ndarray, least: int = BLOCK_WORDS) -> list[int]:
-    """Lines of b in blocks it has in common with a."""
-    found = set(blocks(matches(a.tolist(), b.tolist()), b_words.tolist(), least))
+    """Lines of b in blocks that alignments with a find.
+
+    The lines are aligned first. Then, as long as stretches that both have are left over (moved, or not unique as lines),
+    the stretches themselves are aligned, each taken once on both sides, and an aligned one goes wherever b repeats it.
+    Each alignment matches at least one stretch, as it is unique on both sides.
+    """
+    gone = np.zeros(len(b), bool)
+    gone[blocks(matches(a.tolist(), b.tolist()), b_words.tolist(), least)] = True
     first, last, own = stretches(b, b_words, least)
-    shared = np.isin(own, stretches(a, a_words, least)[2])
-    for x, y in zip(first[shared].tolist(), last[shared].tolist()):
-        found.update(range(x, y))
-    return sorted(found)
+    other = stretches(a, a_words, least)[2]
+    shared = np.isin(own, other)
+    first, last, own = first[shared], last[shared], own[shared]
+    other = list(dict.fromkeys(other[np.isin(other, own)].tolist()))
+    while True:
+        covered = np.concatenate(([0], np.cumsum(gone)))
+        left = np.flatnonzero(covered[last] - covered[first] < last - first)
+        found = {other[i] for i, _ in matches(other, list(dict.fromkeys(own[left].tolist())))} if len(left) else set()
+        if not found:
+            return np.flatnonzero(gone).tolist()
+        for k in left.tolist():
+            if int(own[k]) in found:
+                gone[first[k] : last[k]] = True
 
 
 def _arrays(column) -> list[np.ndarray]:
@@ -151,9 +166,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
 
     Rows of one id are told apart by a hash of their text, and rows equal in both are treated alike; a null id counts
     as the smallest. A null text stays null (0 lines); a text that is deleted as a whole becomes "". An empty table
-    gives no rows. docs' own columns n_lines, n_deleted are replaced.
+    gives no rows. docs' own columns n_lines, n_deleted are replaced; other names are free.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    of, mark, gone_lines, its = fresh(docs, "id", "mark", "lines", "own")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
     shape = f"struct<id:{kind},mark:bigint>"
     trimmed = F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x))
@@ -168,16 +184,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
         first = sequences.select(F.col("key").alias("owner"), F.col("h").alias("a"), F.col("w").alias("a_words"))
         aligned = pairs.join(first, "owner").join(sequences, "key").select("key", "a", "a_words", "h", "w")
         gone = map_batches(aligned, lambda batches: _aligned(batches, least), f"key {shape}, lines array<int>")
-        decisions = keep(gone.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("__lines")).select(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark"), "__lines"), "decisions")
+        decisions = keep(gone.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias(gone_lines)).select(F.col("key.id").alias(of), F.col("key.mark").alias(mark), gone_lines), "decisions")
 
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    keyed = docs.select(*[docs[c] for c in names], F.xxhash64(docs[text]).alias("__own"))
+    keyed = docs.select(*[docs[c] for c in names], F.xxhash64(docs[text]).alias(its))
     # merged at every size: decisions grow with the documents, so a plan that broadcasts them says nothing of larger ones
-    joined = keyed.join(decisions.hint("merge"), keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
+    joined = keyed.join(decisions.hint("merge"), keyed[id_col].eqNullSafe(F.col(of)) & (F.col(its) == F.col(mark)), "left")
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    before, after = F.concat(F.array(F.lit(-1)), F.col("__lines")), F.concat(F.col("__lines"), F.array(n_lines.cast("int")))
+    before, after = F.concat(F.array(F.lit(-1)), F.col(gone_lines)), F.concat(F.col(gone_lines), F.array(n_lines.cast("int")))
     runs = F.filter(F.zip_with(before, after, lambda x, y: F.struct((x + 2).alias("start"), (y - x - 1).alias("n"))), lambda r: r["n"] > 0)
     # the array of one row binds the split lines once for all runs that stay
     left = F.transform(F.array(F.split(F.col(text), "\n")), lambda own: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(own, r["start"], r["n"]))), "\n"))[0]
-    rest = [F.when(F.col("__lines").isNull(), keyed[c]).otherwise(left).alias(c) if c == text else keyed[c] for c in names]
-    return joined.select(*rest, n_lines.alias("n_lines"), F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_deleted"))
+    rest = [F.when(F.col(gone_lines).isNull(), keyed[c]).otherwise(left).alias(c) if c == text else keyed[c] for c in names]
+    return joined.select(*rest, n_lines.alias("n_lines"), F.when(F.col(gone_lines).isNull(), 0).otherwise(F.size(gone_lines)).cast("long").alias("n_deleted"))

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import by_size, fold, map_batches, stash
-from gridspark.llm.toxicity import excerpt, logistic_fit
+from gridspark.llm.common import by_size, drawn_rows, fold, map_batches, stash
+from gridspark.llm.toxicity import TRAIN_CHARS, logistic_fit
 
-#: Labelled documents of each class that the fit reads at most (long ones in excerpts); what is scored is whole.
+#: Labelled documents of each class that the fit reads, about, whole; TRAIN_CHARS characters at most in all.
 TRAIN_DOCS = 3000
 #: Host and path tables up to this number of rows are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -52,12 +52,7 @@ def fit(rows: list[tuple[str, int]]) -> dict | None:
 
 def sample(docs: DataFrame, labels: DataFrame, usable) -> list[tuple[str, int]]:
     """Texts and labels with the smallest hashes of the id in each class."""
-    known = labels.where(usable & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
-    sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    drawn = known.where(draw < F.when(F.col("quality") == 1, TRAIN_DOCS / max(sizes.get(1, 0), 1)).otherwise(TRAIN_DOCS / max(sizes.get(0, 0), 1)))
-    read = docs.where(F.col("text").isNotNull()).select("doc_id", excerpt("text").alias("text"))
-    return [(r["text"], r["quality"]) for r in read.join(F.broadcast(drawn), "doc_id").select("text", "quality").limit(3 * TRAIN_DOCS).collect()]
+    return [(text, quality) for _, text, quality in drawn_rows(docs, labels, usable, "quality", {1: TRAIN_DOCS, 0: TRAIN_DOCS}, TRAIN_CHARS)]
 
 
 def evidence(docs: DataFrame, model: dict | None, host: str, path: str, id_col: str = "doc_id") -> DataFrame:

@@ -24,12 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import by_size, fold, map_batches, per_process
+from gridspark.llm.common import by_size, drawn_rows, fold, fresh, map_batches, per_process
 
-#: The fit reads at most so many labelled documents that are toxic, and twice as many that are not. Of a text of more
-#: than TRAIN_CHARS characters it reads as many, in EXCERPTS stretches at even distances. This bounds the fit alone;
-#: what is scored is whole.
-TRAIN_DOCS, TRAIN_CHARS, EXCERPTS = 2000, 30_000, 10
+#: The fit reads about so many labelled documents that are toxic, and twice as many that are not, whole: as many as
+#: come to TRAIN_CHARS characters in all. This bounds the fit alone.
+TRAIN_DOCS, TRAIN_CHARS = 2000, 48_000_000
 #: Parts of the training rows for the calibration.
 CALIBRATION_PARTS = 3
 _OFFSETS = struct.pack("<3I", 1, 4, 8)
@@ -204,14 +203,6 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return whole[at + len(_OFFSETS) :] if at >= 0 else whole
 
 
-def excerpt(text: str):
-    """The text, or stretches of it at even distances, put together, where it is longer than TRAIN_CHARS."""
-    n = TRAIN_CHARS // EXCERPTS
-    step = (F.length(text) - n) / (EXCERPTS - 1)
-    parts = [F.substring(F.col(text), (step * k).cast("int") + 1, F.lit(n)) for k in range(EXCERPTS)]
-    return F.when(F.length(text) <= TRAIN_CHARS, F.col(text)).otherwise(F.concat(*parts))
-
-
 def held_out(doc_id="doc_id"):
     """Rows whose labels the fit never sees."""
     return F.coalesce(fold(doc_id, 3) == 1, F.lit(False))
@@ -220,22 +211,18 @@ def held_out(doc_id="doc_id"):
 def sample(docs: DataFrame, labels: DataFrame, usable=None) -> list[tuple[int, str, int]]:
     """The rows to fit on: those with the smallest hashes of the id in each class, whatever the partitions."""
     usable = ~held_out() if usable is None else usable
-    known = labels.where(usable & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    share = F.when(F.col("toxic") == 1, TRAIN_DOCS / max(sizes.get(1, 0), 1)).otherwise(2 * TRAIN_DOCS / max(sizes.get(0, 0), 1))
-    drawn = known.where(draw < share)  # about 3 TRAIN_DOCS ids
-    read = docs.where(F.col("text").isNotNull()).select("doc_id", excerpt("text").alias("text"))
-    return [(r["doc_id"], r["text"], r["toxic"]) for r in read.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").limit(4 * TRAIN_DOCS).collect()]
+    return drawn_rows(docs, labels, usable, "toxic", {1: TRAIN_DOCS, 0: 2 * TRAIN_DOCS}, TRAIN_CHARS)
 
 
 def score(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with score (probability that the text is toxic), windows and gap (the largest difference).
 
     Every window of every whole text is compressed twice. A null text counts as empty, which is one empty window.
-    Without a model (too few labels) the score is 0. Rows are independent; repeated rows get equal scores.
+    Without a model (too few labels) the score is 0. Rows are independent; repeated rows get equal scores. Kept columns
+    of the new names are replaced.
     """
-    chosen = docs.select(docs["text"].alias("__text"), *[docs[c] for c in keep])
+    keep = tuple(c for c in keep if c not in ("score", "windows", "gap"))
+    chosen = docs.select(docs["text"].alias(fresh(docs, "body")[0]), *[docs[c] for c in keep])
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # about 70 KB
 

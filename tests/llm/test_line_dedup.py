@@ -87,3 +87,33 @@ def test_stretches_cover_runs():
                     inside = (first >= i) & (last <= j)
                     assert set(range(i, j)) == {k for x, y in zip(first[inside], last[inside]) for k in range(x, y)}
     assert [len(x) for x in line_dedup.stretches(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_every_deletion_comes_from_an_alignment(monkeypatch):
+    """Without patience diff nothing is deleted; with it, all that a search over runs finds."""
+    rng = random.Random(4)
+    kinds = [prose(k, rng.choice([3, 4, 6, 11])) for k in range(9)]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(12)) for _ in range(40)]
+    lines = [t.split("\n") for t in texts]
+    of = lambda own: (np.array([hash(x) for x in own]), np.array([count(x) for x in own]))
+    pairs = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    found = {(a, b): line_dedup.common_lines(*of(lines[a]), *of(lines[b])) for a, b in pairs}
+    for (a, b), gone in found.items():
+        left = "\n".join(x for k, x in enumerate(lines[b]) if k not in gone)
+        assert left == (rest_of([texts[a], texts[b]])[1])
+    assert sum(map(bool, found.values())) > 300
+    monkeypatch.setattr(line_dedup, "matches", lambda a, b: [])
+    assert not any(line_dedup.common_lines(*of(lines[a]), *of(lines[b])) for a, b in pairs)
+    moved = [0, 1, 2, 3, 4, 5], [3, 4, 5, 0, 1, 2]
+    monkeypatch.undo()
+    words = np.full(6, 5)
+    assert line_dedup.common_lines(np.array(moved[0]), words, np.array(moved[1]), words) == [0, 1, 2, 3, 4, 5]
+    assert len(line_dedup.blocks(line_dedup.matches(*moved), words.tolist())) == 3  # one alignment alone takes in half of it
+
+
+def test_reversed_and_repeated_lines_end_soon():
+    a = np.arange(800)
+    words = np.full(800, 12)
+    assert line_dedup.common_lines(a, words, a[::-1].copy(), words) == list(range(800))
+    again = np.tile(a[:20], 200)
+    assert line_dedup.common_lines(a, words, again, np.full(4000, 12)) == list(range(4000))

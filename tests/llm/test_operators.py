@@ -252,11 +252,12 @@ def test_quality(spark, docs, none):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_return_every_row(spark, name):
     df = queries()[name](spark, SF)
-    ids = {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    of, column = {"op11_vector_codes": ("embeddings", "vec_id"), "op13_conversation_repair": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/{of}.parquet").select(column).collect()}
     if name.startswith("op10"):
         assert df.count() == 10 * spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
     else:
-        assert {r[0] for r in df.select("doc_id").collect()} == ids
+        assert {r[0] for r in df.select(column).collect()} == ids
 
 
 def test_toxicity_settings():

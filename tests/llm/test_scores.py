@@ -2,16 +2,18 @@
 
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridspark.llm import fingerprint, language, packing, quality, toxicity
+from gridspark.llm import common, fingerprint, language, line_dedup, packing, quality, toxicity
 from tests.llm.helpers import SCHEMA, awkward, prose, table
 
 WORDS = P.path("word_bpe_49k.json")
@@ -42,13 +44,76 @@ def test_toxicity_scores_by_hand(spark):
     assert got == sorted(expected)
 
 
-def test_long_training_texts_are_read_in_stretches(spark):
+def test_rows_to_fit_on(spark, monkeypatch):
+    """Whole texts, one for each id and class, alike in any partitioning, up to a number of characters."""
     long = "".join(f"{k:06d}" for k in range(20_000))
-    df = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r["x"] for r in df.select("doc_id", toxicity.excerpt("text").alias("x")).collect()}
-    n = toxicity.TRAIN_CHARS // toxicity.EXCERPTS
-    assert got[2] == "short" and got[3] is None and len(got[1]) == toxicity.TRAIN_CHARS
-    assert got[1][:n] == long[:n] and got[1][-n:] == long[-n:] and all(got[1][k : k + n] in long for k in range(0, len(got[1]), n))
+    docs = spark.createDataFrame([(1, long), (2, "short"), (2, "other"), (2, "other"), (3, None), (4, "four"), (5, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (2, 0), (3, 1), (4, 7), (4, None), (5, 0), (9, 1)], "doc_id long, toxic int")
+    rows = lambda d, chars=10**9: sorted(common.drawn_rows(d, labels, F.lit(True), "toxic", {1: 100, 0: 100}, chars))
+    assert rows(docs) == rows(docs.repartition(5)) == [(1, long, 1), (2, "other", 0), (2, "other", 1), (5, "", 0)]
+    order = sorted([(1, len(long)), (2, 5), (2, 5), (5, 0)], key=lambda r: xxhash.xxh64_intdigest(str(r[0]), 42) & ((1 << 52) - 1))
+    fit, total = [], 0
+    for d, n in order:
+        total += n
+        fit += [d] if total <= 11 else []
+    assert sorted(d for d, *_ in rows(docs, 11)) == sorted(fit)
+
+
+def test_language_profiles_by_hand(spark):
+    """Letters as random signs, bound by turns and products, bundled by counts, compared by cosine."""
+    texts = [(i, prose(i, 30) + (" école à côté" if i % 2 else ""), "fr" if i % 2 else "en") for i in range(12)] + [(20, "mixed Case", None), (21, None, "en"), (22, "123", "fr"), (23, "ça", "fr")]
+    frame = table(spark, texts)
+
+    def profile(text: str) -> np.ndarray | None:
+        total = np.zeros(language.DIMENSIONS)
+        words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
+        spread = "\0" + "\0".join(words) + "\0"
+        sign = lambda c: np.random.default_rng((language.SEED, ord(c))).choice(np.array([-1, 1], dtype=np.int8), language.DIMENSIONS).astype(float)
+        for x, y, z in zip(spread, spread[1:], spread[2:]):
+            total += np.concatenate((sign(x)[-2:], sign(x)[:-2])) * np.concatenate((sign(y)[-1:], sign(y)[:-1])) * sign(z)
+        return total if any(unicodedata.category(c)[0] == "L" for c in text) else None
+
+    names, prototypes = language.fit(frame, F.lit(True))
+    bundles = {}
+    for _, text, lang, *_ in texts:
+        p = profile(text) if text and lang else None
+        if p is not None:
+            bundles.setdefault(lang, []).append(p / np.linalg.norm(p))
+    assert names == sorted(bundles)
+    want = np.stack([np.sum(bundles[n], axis=0) / np.linalg.norm(np.sum(bundles[n], axis=0)) for n in names])
+    assert np.allclose(prototypes, want, atol=1e-6)
+    for r in language.identify(frame, names, prototypes).collect():
+        text = next(t for d, t, *_ in texts if d == r["doc_id"])
+        p = profile(text) if text else None
+        if p is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            cosines = want @ p / np.linalg.norm(p)
+            assert r["lang_pred"] == names[int(np.argmax(cosines))] and r["score"] == pytest.approx(min(max(cosines.max(), 0), 1), abs=1e-5)
+
+
+def test_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    texts = [(i, prose(i, 9), lang) for i, lang in enumerate(["en"] * 3 + ["de"] * 2 + ["fr", "es"] + ["fr"])]
+    assert language.fit(table(spark, texts), F.lit(True))[0] == ["de", "en"]
+
+
+def test_clashing_names(spark):
+    """Columns of the operators' own names, new and internal ones, in the input."""
+    extra = "_id string, mark string, lines string, own string, body string, fingerprint string, score string, lang_pred string, windows string, gap string, n_lines string"
+    names = [c.split()[0] for c in extra.split(", ")]
+    docs = table(spark, [(1, prose(1, 30)), (2, prose(1, 30) + "\n" + prose(2, 5)), (3, None)]).drop("fp", "lines", "score")
+    docs = docs.select("*", *[F.lit("mine").alias(c) for c in names])
+    keep = tuple(docs.columns)
+    left = line_dedup.line_dedup(docs)
+    assert left.columns == [c for c in keep if c != "n_lines"] + ["n_lines", "n_deleted"]
+    assert sorted((r["doc_id"], r["n_deleted"], r["mark"], r["_id"]) for r in left.collect()) == [(1, 0, "mine", "mine"), (2, 1, "mine", "mine"), (3, 0, "mine", "mine")]
+    printed = fingerprint.fingerprint(docs)
+    assert printed.columns == [c for c in keep if c != "fingerprint"] + ["fingerprint"] and printed.where("fingerprint = 'mine'").count() == 0
+    scored = toxicity.score(docs, None, keep=keep)
+    assert scored.columns[-3:] == ["score", "windows", "gap"] and len(set(scored.columns)) == len(scored.columns) and scored.where("body = 'mine' and score = 0").count() == 3
+    found = language.identify(docs, *language.fit(docs, F.lit(True)), keep=keep)
+    assert len(set(found.columns)) == len(found.columns) and found.where("body = 'mine' and lang_pred = 'en'").count() == 2
 
 
 def brute_rates(rows: list[tuple[str, str, float]]) -> dict:

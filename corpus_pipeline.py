@@ -45,7 +45,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: of the smallest doc_id, null last, then of the smallest hash of its text."""
+    """One row of each group of near copies: of the smallest doc_id, null last, then of the smallest hash of its text,
+    then of the smallest lang, source and n_chars."""
     with stashes(spark) as keep:
         groups = near_copies.near_copies(docs.select(*COLUMNS))
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
@@ -54,7 +55,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = docs.select(*COLUMNS, near_copies.text_key("text").alias("__text"))
     rest = rows.join(kept.select("__id", "__key").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
     if not kept.where("n > 1").isEmpty():
-        rest = rest.dropDuplicates(["doc_id", "__text"])
+        least = F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")  # texts of one hash are one text
+        rest = rest.groupBy("doc_id", "__text").agg(least).select("doc_id", "row.*")
     return rest.select(*COLUMNS)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import calendar
 from gridspark.operators import clean, climatology, fields, mesh, normalize, sampling, tasks
 from gridspark.operators.sampling import Sampling
-from gridspark.plans import flow, metrics, neighbours, placement, predictors, readout, runs
+from gridspark.plans import flow, lazy_placement as lazy, metrics, neighbours, placement, predictors, readout, runs
 from gridspark.sources import tables
 from gridspark.streaming import climatology as increments
 
@@ -500,6 +500,28 @@ def export_names(spark, sf_dir):
     return runs.predictions_for_export(pred)
 
 
+def _lazy_sql(picks: int) -> str:
+    """Picks one by one: p0 covariances of targets and candidates given one context point, each pick a rank-one term."""
+    steps = ["""p0 AS (SELECT k.date, k.target_id AS i, k.cell_id AS j, ta - tx * ax / 1.01 AS cov, 1 - tx * tx / 1.01 AS vi, 1.01 - ax * ax / 1.01 AS vj FROM k)"""]
+    for n in range(1, picks + 1):
+        taken = "".join(f" AND j <> (SELECT cell_id FROM s{m})" for m in range(1, n))
+        steps.append(f"s{n} AS (SELECT {n} AS iteration, j AS cell_id, avg(sqrt(greatest(vi - cov * cov / vj, 0))) AS score FROM p{n - 1} WHERE true{taken} GROUP BY j ORDER BY round(score, 12), j LIMIT 1)")
+        steps.append(f"""p{n} AS (SELECT p.date, p.i, p.j, p.cov - a.cov * b.cov / a.vj AS cov, p.vi - a.cov * a.cov / a.vj AS vi, p.vj - b.cov * b.cov / a.vj AS vj
+FROM p{n - 1} p JOIN p{n - 1} a ON a.date = p.date AND a.i = p.i AND a.j = (SELECT cell_id FROM s{n}) JOIN p{n - 1} b ON b.date = p.date AND b.i = p.j AND b.j = a.j)""")
+    chosen = " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(1, picks + 1))
+    one = ONE[: ONE.rindex("\ns AS (")]
+    return f"WITH {one}\n{', '.join(steps)} SELECT iteration, CAST(q.cell_id AS BIGINT) AS cell_id, x1, x2, round(score, 8) AS score FROM ({chosen}) q JOIN a ON q.cell_id = a.cell_id"
+
+
+@query(_lazy_sql(3))
+def lazy_placement(spark, sf_dir):
+    """Three picks, candidates scored again only while their bounds could win."""
+    context = sampling.sample(_daily(spark, sf_dir), Sampling(n=1, seed=0, fixed=True))
+    cells = _grid_targets(spark, sf_dir).withColumn("cell_id", F.col("target_id").cast("long"))
+    found = lazy.lazy_greedy(context, fields.within(cells, fields.mask_cells(static(spark, sf_dir))), cells, 3, 1.5)[0]
+    return found.withColumn("score", F.round("score", 8))
+
+
 # The flow: daily means of the orders of a nation are the series, anomalies from 1996 on, epochs of kernel predictors.
 LENGTHS = (0.1, 0.3, 0.2)
 FLOW = f"""{STATIC}, {SERIES}, g AS (SELECT CAST(time AS DATE) AS date, cell_id, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value) AS v FROM s GROUP BY 1, 2),

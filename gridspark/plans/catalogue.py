@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridspark.functions import calendar
 from gridspark.operators import clean, climatology, fields, mesh, normalize, sampling, tasks
 from gridspark.operators.sampling import Sampling
-from gridspark.plans import flow, lazy_placement as lazy, metrics, neighbours, placement, predictors, readout, runs
+from gridspark.plans import flow, joint_samples, lazy_placement as lazy, metrics, neighbours, placement, predictors, readout, runs
 from gridspark.sources import tables
 from gridspark.streaming import climatology as increments
 
@@ -350,6 +350,14 @@ def gp_samples(spark, sf_dir):
     return predictors.gp_predict(context, _grid_targets(spark, sf_dir), 1.5, samples=3).withColumn("date", F.col("date").cast("string"))
 
 
+@query(None)
+def field_samples(spark, sf_dir):
+    """Three fields over all cells of each date given all of its events, drawn tile by tile."""
+    context = _daily(spark, sf_dir)
+    wanted = context.select("date").distinct().crossJoin(_grid_targets(spark, sf_dir))
+    return joint_samples.sample_fields(context, wanted, 1.5, samples=3).withColumn("date", F.col("date").cast("string"))
+
+
 @query(None)
 def greedy_placement(spark, sf_dir):
     context = sampling.sample(_daily(spark, sf_dir), Sampling(n=30, seed=0, fixed=True))

@@ -1,6 +1,10 @@
-import pytest
+import os
 
-from gridspark.session import local_session
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy: its threads wait for ever beside Spark's on some machines
+
+import pytest  # noqa: E402
+
+from gridspark.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
